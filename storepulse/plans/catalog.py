@@ -60,3 +60,27 @@ simple("avg_items_per_transaction_range",
        lambda r: S.avg_items_per_transaction_range(r, P.RANGE_START, P.RANGE_END))
 simple("monthly_sales", lambda r: S.monthly_sales(r, P.AS_OF, P.FULL_DAYS))
 simple("sales_comparison", lambda r: S.sales_comparison(r, P.AS_OF, 365, P.COMPARISON))
+
+# ---------------------------------------------------------------- traffic
+from storepulse.operators import traffic as TR  # noqa: E402
+from storepulse.operators import trends as RT  # noqa: E402
+
+for _pt in ("hour", "day", "week", "month"):
+    simple(f"customer_traffic_{_pt}",
+           lambda r, _pt=_pt: TR.customer_traffic(r, P.AS_OF, _pt, P.HISTORY_START, P.HISTORY_END))
+simple("traffic_summary",
+       lambda r: TR.traffic_summary(TR.customer_traffic(r, P.AS_OF, "day", P.HISTORY_START, P.HISTORY_END)))
+simple("traffic_layer_compare", lambda r: TR.traffic_layer_compare([
+    ("A", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_A)),
+    ("B", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_B))]))
+
+# ---------------------------------------------------------------- trends
+for _pt in ("daily", "weekly", "monthly", "quarterly"):
+    simple(f"advanced_sales_trends_{_pt}",
+           lambda r, _pt=_pt: RT.advanced_sales_trends(r, P.AS_OF, _pt, P.HISTORY_START, P.HISTORY_END))
+    simple(f"category_sales_trends_{_pt}",
+           lambda r, _pt=_pt: RT.category_sales_trends(r, P.AS_OF, _pt, P.HISTORY_START, P.HISTORY_END, 5))
+simple("advanced_sales_trends_category",
+       lambda r: RT.advanced_sales_trends(r, P.AS_OF, "weekly", P.HISTORY_START, P.HISTORY_END,
+                                          category_id=P.CATEGORY_ID))
+simple("sales_summary_metrics", lambda r: RT.sales_summary_metrics(r, P.AS_OF, P.SUMMARY_START, P.HISTORY_END))

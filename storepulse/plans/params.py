@@ -18,3 +18,9 @@ TOP_LIMIT = 10
 BASKET_DAYS = 365                      # frequently-bought-together window
 COMPARISON = "vs_last_year"
 FORECAST_HORIZON = 14
+HISTORY_START = "1995-01-01 00:00:00"  # explicit whole-history range
+HISTORY_END = "2001-08-01 23:59:59"
+SUMMARY_START = "1998-01-01 00:00:00"  # R8: previous period covers the rest
+LAYER_A = ("1996-01-01 00:00:00", "1996-12-31 23:59:59")
+LAYER_B = ("1997-01-01 00:00:00", "1997-12-31 23:59:59")
+CATEGORY_ID = 2
