@@ -84,3 +84,29 @@ simple("advanced_sales_trends_category",
        lambda r: RT.advanced_sales_trends(r, P.AS_OF, "weekly", P.HISTORY_START, P.HISTORY_END,
                                           category_id=P.CATEGORY_ID))
 simple("sales_summary_metrics", lambda r: RT.sales_summary_metrics(r, P.AS_OF, P.SUMMARY_START, P.HISTORY_END))
+
+# ---------------------------------------------------------------- promotions
+from storepulse.operators import promo as PR  # noqa: E402
+
+
+def _eff(r):
+    return PR.promotion_effectiveness(r, P.PROMO_AS_OF, P.PROMO_DAYS)
+
+
+simple("promotion_effectiveness", _eff)
+simple("promotion_effectiveness_filtered",
+       lambda r: PR.promotion_effectiveness(r, P.PROMO_AS_OF, P.PROMO_DAYS, "bogo", "upcoming"))
+simple("promotion_effectiveness_range",
+       lambda r: PR.promotion_effectiveness(r, P.PROMO_AS_OF, P.PROMO_DAYS, start=P.PROMO_RANGE[0], end=P.PROMO_RANGE[1]))
+simple("promotion_effectiveness_created",
+       lambda r: PR.promotion_effectiveness_created(r, P.PROMO_AS_OF, P.PROMO_DAYS))
+simple("promotion_kpis", lambda r: PR.promotion_kpis(_eff(r)))
+simple("top_promotions", lambda r: PR.top_promotions(_eff(r), 8))
+simple("promotion_type_share", lambda r: PR.promotion_type_share(_eff(r)))
+simple("active_promotions", PR.active_promotions)
+simple("promotion_dates", lambda r: PR.promotion_dates(r, P.PROMO_ID))
+simple("promotion_comparison", lambda r: PR.promotion_comparison(r, P.PROMO_ID))
+simple("promotional_impact", lambda r: PR.promotional_impact(r, P.PROMO_AS_OF, P.PROMO_DAYS))
+simple("promo_vs_non_promo", lambda r: PR.promo_vs_non_promo(r, *P.PROMO_PERIOD, *P.NON_PROMO_PERIOD))
+simple("promo_summary_cards",
+       lambda r: PR.promo_summary_cards(PR.promo_vs_non_promo(r, *P.PROMO_PERIOD, *P.NON_PROMO_PERIOD)))
