@@ -110,3 +110,11 @@ simple("promotional_impact", lambda r: PR.promotional_impact(r, P.PROMO_AS_OF, P
 simple("promo_vs_non_promo", lambda r: PR.promo_vs_non_promo(r, *P.PROMO_PERIOD, *P.NON_PROMO_PERIOD))
 simple("promo_summary_cards",
        lambda r: PR.promo_summary_cards(PR.promo_vs_non_promo(r, *P.PROMO_PERIOD, *P.NON_PROMO_PERIOD)))
+
+# ---------------------------------------------------------------- baskets
+from storepulse.operators import basket as BK  # noqa: E402
+
+simple("frequently_bought_together", lambda r: BK.frequently_bought_together(r, P.AS_OF, P.FULL_DAYS))
+simple("frequently_bought_together_range",
+       lambda r: BK.frequently_bought_together_range(r, P.RANGE_START, P.RANGE_END))
+simple("top_associations", lambda r: BK.top_associations(BK.frequently_bought_together(r, P.AS_OF, P.FULL_DAYS)))
