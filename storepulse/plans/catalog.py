@@ -118,3 +118,30 @@ simple("frequently_bought_together", lambda r: BK.frequently_bought_together(r,
 simple("frequently_bought_together_range",
        lambda r: BK.frequently_bought_together_range(r, P.RANGE_START, P.RANGE_END))
 simple("top_associations", lambda r: BK.top_associations(BK.frequently_bought_together(r, P.AS_OF, P.FULL_DAYS)))
+
+# ---------------------------------------------------------------- categories / product rankings
+from storepulse.operators import category as CT  # noqa: E402
+
+simple("category_performance", lambda r: CT.category_performance(r, P.AS_OF, P.FULL_DAYS))
+simple("category_performance_range", lambda r: CT.category_performance_range(r, P.RANGE_START, P.RANGE_END))
+simple("seasonal_trends", lambda r: CT.seasonal_trends(r, P.AS_OF, P.FULL_DAYS))
+simple("seasonal_trends_range", lambda r: CT.seasonal_trends(r, P.AS_OF, start=P.RANGE_START, end=P.RANGE_END))
+simple("popular_products_by_category",
+       lambda r: CT.popular_products_by_category(r, P.AS_OF, None, P.TOP_LIMIT, P.FULL_DAYS, "total_revenue"))
+simple("popular_products_by_category_filtered",
+       lambda r: CT.popular_products_by_category(r, P.AS_OF, "PROMO", P.TOP_LIMIT, P.FULL_DAYS, "avg_price"))
+simple("product_growth_by_category",
+       lambda r: CT.product_growth_by_category(r, P.AS_OF, None, P.TOP_LIMIT, P.FULL_DAYS, "growth_rate"))
+simple("top_products_range",
+       lambda r: CT.top_products_range(r, P.RANGE_START, P.RANGE_END, None, P.TOP_LIMIT, "total_sold"))
+simple("top_products_range_filtered",
+       lambda r: CT.top_products_range(r, P.RANGE_START, P.RANGE_END, "SMALL", P.TOP_LIMIT, "total_revenue"))
+simple("popular_products_view",
+       lambda r: CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "growth_rate", "All Categories", P.TOP_LIMIT))
+simple("popular_products_view_range",
+       lambda r: CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "avg_price", "LARGE", P.TOP_LIMIT,
+                                          P.RANGE_START, P.RANGE_END))
+simple("category_distribution", lambda r: CT.category_distribution(
+    CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "growth_rate", "All Categories", P.TOP_LIMIT)))
+simple("buying_behavior", lambda r: CT.buying_behavior(r, "category_performance", P.AS_OF, P.FULL_DAYS,
+                                                       P.RANGE_START, P.RANGE_END))
