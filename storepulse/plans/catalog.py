@@ -145,3 +145,20 @@ simple("category_distribution", lambda r: CT.category_distribution(
     CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "growth_rate", "All Categories", P.TOP_LIMIT)))
 simple("buying_behavior", lambda r: CT.buying_behavior(r, "category_performance", P.AS_OF, P.FULL_DAYS,
                                                        P.RANGE_START, P.RANGE_END))
+
+# ---------------------------------------------------------------- inventory / restocking
+from storepulse.operators import inventory as IV  # noqa: E402
+
+simple("inventory_usage", lambda r: IV.inventory_usage(r, P.AS_OF))
+simple("inventory_status_counts", lambda r: IV.inventory_status_counts(IV.inventory_usage(r, P.AS_OF)))
+simple("low_stock_products", IV.low_stock_products)
+simple("stock_alert_counts", lambda r: IV.stock_alert_counts(IV.low_stock_products(r)))
+simple("urgent_reorder", lambda r: IV.urgent_reorder(r, 3))
+simple("predicted_high_demand", lambda r: IV.predicted_high_demand(r, P.AS_OF, P.FULL_DAYS))
+simple("demand_risk_counts", lambda r: IV.demand_risk_counts(IV.predicted_high_demand(r, P.AS_OF, P.FULL_DAYS)))
+simple("high_risk_top", lambda r: IV.high_risk_top(r, P.AS_OF, P.FULL_DAYS, 5))
+simple("inventory_movement_trends", lambda r: IV.inventory_movement_trends(r, P.AS_OF, P.FULL_DAYS))
+simple("inventory_value", IV.inventory_value)
+simple("supplier_performance", lambda r: IV.supplier_performance(r, P.AS_OF, 30))
+simple("critical_inventory", lambda r: IV.critical_inventory(r, P.AS_OF, 30))
+simple("restock_recommendations", lambda r: IV.restock_recommendations(r, P.AS_OF, 30))
