@@ -162,3 +162,23 @@ simple("inventory_value", IV.inventory_value)
 simple("supplier_performance", lambda r: IV.supplier_performance(r, P.AS_OF, 30))
 simple("critical_inventory", lambda r: IV.critical_inventory(r, P.AS_OF, 30))
 simple("restock_recommendations", lambda r: IV.restock_recommendations(r, P.AS_OF, 30))
+
+# ---------------------------------------------------------------- forecasts
+from storepulse.operators import forecast as FC  # noqa: E402
+
+
+def _cat_series(r):
+    return FC.daily_series(r, P.AS_OF, P.FULL_DAYS, "category")
+
+
+simple("forecast_moving_average", lambda r: FC.forecast_moving_average(_cat_series(r)))
+simple("forecast_moving_average_all",
+       lambda r: FC.forecast_moving_average(FC.daily_series(r, P.AS_OF, P.FULL_DAYS, "all")))
+simple("forecast_linear_trend", lambda r: FC.forecast_linear_trend(_cat_series(r)))
+simple("forecast_exponential", lambda r: FC.forecast_exponential(_cat_series(r)))
+simple("project_moving_average", lambda r: FC.project_moving_average(_cat_series(r), P.FORECAST_HORIZON))
+simple("project_linear_trend", lambda r: FC.project_linear_trend(_cat_series(r), P.FORECAST_HORIZON))
+simple("project_exponential", lambda r: FC.project_exponential(_cat_series(r), P.FORECAST_HORIZON))
+simple("forecast_quality", lambda r: FC.forecast_quality(_cat_series(r), "moving_average", P.FORECAST_HORIZON))
+simple("avg_items_trendline",
+       lambda r: FC.avg_items_trendline(S.avg_items_per_transaction(r, P.AS_OF, P.FULL_DAYS)))
