@@ -182,3 +182,12 @@ simple("project_exponential", lambda r: FC.project_exponential(_cat_series(r), P
 simple("forecast_quality", lambda r: FC.forecast_quality(_cat_series(r), "moving_average", P.FORECAST_HORIZON))
 simple("avg_items_trendline",
        lambda r: FC.avg_items_trendline(S.avg_items_per_transaction(r, P.AS_OF, P.FULL_DAYS)))
+
+# ---------------------------------------------------------------- streaming (closed input, availableNow)
+from storepulse.streaming import live as ST  # noqa: E402
+
+QUERIES["stream_hourly_sales"] = ST.stream_hourly_sales
+QUERIES["stream_daily_dashboard"] = ST.stream_daily_dashboard
+QUERIES["stream_top_products"] = ST.stream_top_products
+QUERIES["stream_traffic"] = ST.stream_traffic
+QUERIES["stream_movement_totals"] = ST.stream_movement_totals

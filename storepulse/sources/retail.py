@@ -54,6 +54,41 @@ def _cents(x):
     return F.floor(x * F.lit(100.0) + F.lit(0.5)).cast("bigint")
 
 
+def transactions_from_orders(orders: DataFrame) -> DataFrame:
+    """sales_transactions from orders (also usable on a streaming frame).
+    Order dates carry no time of day; a deterministic minute offset spreads
+    them over the day."""
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_orderdate") + F.make_dt_interval(
+            mins=((F.col("o_orderkey") * 37) % 1440).cast("int"))).alias("transaction_date"),
+        _cents(F.col("o_totalprice")).alias("total_cents"),
+    )
+
+
+def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """sales_transaction_items from lineitem (batch or streaming)."""
+    return lineitem.select(
+        F.col("l_orderkey").alias("transaction_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        _cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_cents"),
+        _cents(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("total_cents"),
+        _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_cents"),
+        F.when(F.col("l_discount") >= F.lit(0.05), F.col("l_partkey") % 12 + 1).alias("promotion_id"),
+    )
+
+
+def movements_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """inventory_movements from lineitem (batch or streaming)."""
+    return lineitem.select(
+        F.col("l_partkey").alias("product_id"),
+        F.when(F.col("l_returnflag") == "R", "inbound").otherwise("outbound").alias("movement_type"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.col("l_shipdate").alias("movement_date"),
+    )
+
+
 def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Build the eight retail DataFrames over ``{sf_dir}/<table>.parquet``."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -75,8 +110,10 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
     n_sup = supplier.agg(F.count(F.lit(1)).alias("n_sup"))  # one row
-    products = (part.join(F.broadcast(categories.withColumnRenamed("name", "p_type")
-                                      .withColumnRenamed("id", "category_id")), "p_type")
+    # categories: joined by size-checked AQE planning (broadcast only when
+    # the runtime size is under the threshold); n_sup is one row.
+    products = (part.join(categories.withColumnRenamed("name", "p_type")
+                          .withColumnRenamed("id", "category_id"), "p_type")
                 .crossJoin(F.broadcast(n_sup))
                 .select(
                     F.col("p_partkey").alias("id"),
@@ -92,22 +129,8 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                     (F.col("p_partkey") % 20 != 0).alias("is_active"),
                 ))
 
-    transactions = orders.select(
-        F.col("o_orderkey").alias("id"),
-        (F.col("o_orderdate") + F.make_dt_interval(
-            mins=((F.col("o_orderkey") * 37) % 1440).cast("int"))).alias("transaction_date"),
-        _cents(F.col("o_totalprice")).alias("total_cents"),
-    )
-
-    items = lineitem.select(
-        F.col("l_orderkey").alias("transaction_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        _cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_cents"),
-        _cents(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("total_cents"),
-        _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_cents"),
-        F.when(F.col("l_discount") >= F.lit(0.05), F.col("l_partkey") % 12 + 1).alias("promotion_id"),
-    )
+    transactions = transactions_from_orders(orders)
+    items = items_from_lineitem(lineitem)
 
     i = F.col("id")
     start = F.date_add(F.lit(PROMO_FIRST_START), ((i - 1) * PROMO_STEP_DAYS).cast("int"))
@@ -125,12 +148,7 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     promotion_products = part.filter(F.col("p_partkey") % 5 == 0).select(
         (F.col("p_partkey") % 12 + 1).alias("promotion_id"), F.col("p_partkey").alias("product_id"))
 
-    movements = lineitem.select(
-        F.col("l_partkey").alias("product_id"),
-        F.when(F.col("l_returnflag") == "R", "inbound").otherwise("outbound").alias("movement_type"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_shipdate").alias("movement_date"),
-    )
+    movements = movements_from_lineitem(lineitem)
 
     return {
         "sales_transactions": transactions,
