@@ -191,3 +191,67 @@ QUERIES["stream_daily_dashboard"] = ST.stream_daily_dashboard
 QUERIES["stream_top_products"] = ST.stream_top_products
 QUERIES["stream_traffic"] = ST.stream_traffic
 QUERIES["stream_movement_totals"] = ST.stream_movement_totals
+
+# ---------------------------------------------------------------- sources / sinks / reports
+import datetime as _dt  # noqa: E402
+from functools import reduce as _reduce  # noqa: E402
+
+from pyspark.sql import functions as _F  # noqa: E402
+
+from storepulse.plans import reports as RP  # noqa: E402
+from storepulse.session import shared_dir  # noqa: E402
+from storepulse.sources import tables as TB  # noqa: E402
+
+PARAM_SQL = """
+SELECT CAST(transaction_date AS DATE) AS date, COUNT(*) AS transaction_count,
+       CAST(SUM(total_cents) AS DOUBLE) / 100.0 AS daily_revenue
+FROM sales_transactions
+WHERE transaction_date BETWEEN :start AND :end
+GROUP BY CAST(transaction_date AS DATE)
+"""
+
+
+@register("parameterised_sql")
+def _param_sql(spark, sf_dir):
+    r = _r(spark, sf_dir)
+    TB.register(r)
+    return TB.run_sql(spark, PARAM_SQL, start=_dt.datetime.fromisoformat(P.RANGE_START),
+                      end=_dt.datetime.fromisoformat(P.RANGE_END))
+
+
+@register("load_tables")
+def _load(spark, sf_dir):
+    raw = TB.load_tables(spark, sf_dir, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"],
+                         register_views=False)
+    return _reduce(lambda a, b: a.unionByName(b), [
+        df.agg(_F.count(_F.lit(1)).alias("row_count")).select(_F.lit(name).alias("table_name"), "row_count")
+        for name, df in raw.items()])
+
+
+@register("table_row_counts")
+def _counts(spark, sf_dir):
+    r = _r(spark, sf_dir)
+    return _reduce(lambda a, b: a.unionByName(b), [
+        df.agg(_F.count(_F.lit(1)).alias("row_count")).select(_F.lit(name).alias("table_name"), "row_count")
+        for name, df in r.items()])
+
+
+simple("schema_profile", TB.schema_profile)
+
+
+@register("manager_report")
+def _manager_report(spark, sf_dir):
+    return RP.manager_report(spark, _r(spark, sf_dir), P.AS_OF, shared_dir(spark, "manager-report"),
+                             days=P.FULL_DAYS, traffic_start=P.HISTORY_START, traffic_end=P.HISTORY_END)
+
+
+@register("sales_report")
+def _sales_report(spark, sf_dir):
+    return RP.sales_report(spark, _r(spark, sf_dir), P.DAY_AS_OF, shared_dir(spark, "sales-report"),
+                           days=P.FULL_DAYS, promo_period=P.PROMO_PERIOD, non_promo_period=P.NON_PROMO_PERIOD)
+
+
+@register("inventory_report")
+def _inventory_report(spark, sf_dir):
+    return RP.inventory_report(spark, _r(spark, sf_dir), P.AS_OF, shared_dir(spark, "inventory-report"),
+                               days=P.FULL_DAYS)
