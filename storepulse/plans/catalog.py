@@ -26,8 +26,16 @@ def register(key: str):
     return deco
 
 
+_TABLE_CACHE: dict = {}
+
+
 def _r(spark, sf_dir):
-    return retail_tables(spark, sf_dir)
+    """Retail views per (session, folder), built once like catalog entries
+    (lazy plans; nothing is cached in memory)."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = retail_tables(spark, sf_dir)
+    return _TABLE_CACHE[key]
 
 
 def simple(key: str, build: Callable[[dict], DataFrame]) -> None:
