@@ -23,7 +23,14 @@ def sold_lines(r: Tables, window: Column | None = None) -> DataFrame:
     """
     tx = transactions(r, window).select(
         F.col("id").alias("transaction_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
-    return r["sales_transaction_items"].join(tx, "transaction_id")
+    items = r["sales_transaction_items"]
+    if "transaction_date" in items.columns:
+        # canonical layout (see sources.retail.materialize_retail): the item
+        # scan is pruned by the same window before the join
+        if window is not None:
+            items = items.filter(window)
+        items = items.drop("transaction_date")
+    return items.join(tx, "transaction_id")
 
 
 def product_dim(r: Tables, active_only: bool = False) -> DataFrame:

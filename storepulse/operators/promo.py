@@ -46,7 +46,9 @@ def _effectiveness(r: Tables, promos: DataFrame, avg_of: str) -> DataFrame:
     links = sel.join(pp, "promotion_id")
     n_products = links.groupBy("promotion_id").agg(F.countDistinct("product_id").alias("products_in_promotion"))
     # only item rows sold under the promotion itself can contribute
-    hits = (r["sales_transaction_items"].filter(F.col("promotion_id").isNotNull())
+    hits = (r["sales_transaction_items"]
+            .select("transaction_id", "product_id", "promotion_id", "total_cents", "discount_cents")
+            .filter(F.col("promotion_id").isNotNull())
             .join(links, ["product_id", "promotion_id"]))
     tx = r["sales_transactions"].select(F.col("id").alias("tx_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
     in_window = ((F.col("transaction_id") == F.col("tx_id"))
@@ -169,7 +171,8 @@ def promotion_comparison(r: Tables, promotion_id: int, start_date=None, end_date
     prods = r["promotion_products"].filter(F.col("promotion_id") == F.lit(promotion_id)).select("product_id")
     tx = r["sales_transactions"].filter(before | during).select(
         F.col("id").alias("transaction_id"), "transaction_date")
-    lines = r["sales_transaction_items"].join(tx, "transaction_id").join(prods, "product_id")
+    items = r["sales_transaction_items"].select("transaction_id", "product_id", "quantity", "total_cents")
+    lines = items.join(tx, "transaction_id").join(prods, "product_id")
 
     def period(cond, p):
         return [(F.sum(F.when(cond, F.col("total_cents"))).cast("double") / 100.0).alias(f"revenue_{p}"),
