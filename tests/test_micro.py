@@ -157,3 +157,13 @@ def test_category_share_and_dispatch(spark, retail):
     assert category.buying_behavior(retail, "unknown", "2001-08-02") is None
     assert traffic.default_period_type(1) == "hour" and traffic.default_period_type(30) == "day"
     assert traffic.default_period_type(120) == "week" and traffic.default_period_type(70, "load") == "week"
+
+
+def test_stream_append_mode_emits_closed_windows(spark):
+    from storepulse.streaming import live
+    complete = {r["window_start"]: r["items_sold"] for r in live.stream_hourly_sales(spark, "/root/testdata/sf0.001").collect()}
+    append = {r["window_start"]: r["items_sold"]
+              for r in live.stream_hourly_sales(spark, "/root/testdata/sf0.001", "append").collect()}
+    # append emits only windows the watermark has closed; those are final
+    assert append and set(append) < set(complete)
+    assert all(complete[k] == v for k, v in append.items())
