@@ -263,3 +263,10 @@ def _sales_report(spark, sf_dir):
 def _inventory_report(spark, sf_dir):
     return RP.inventory_report(spark, _r(spark, sf_dir), P.AS_OF, shared_dir(spark, "inventory-report"),
                                days=P.FULL_DAYS)
+
+# ---------------------------------------------------------------- display helpers
+from storepulse.functions import display as DP  # noqa: E402
+
+simple("low_stock_display", lambda r: DP.table_view(IV.low_stock_products(r), 50))
+simple("promo_comparison_display",
+       lambda r: DP.comparison_display(PR.promo_vs_non_promo(r, *P.PROMO_PERIOD, *P.NON_PROMO_PERIOD)))
