@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.operators import sales as S
 from storepulse.plans import params as P
-from storepulse.sources.retail import retail_tables
+from storepulse.sources.retail import cache_dimensions, retail_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -30,12 +30,15 @@ _TABLE_CACHE: dict = {}
 
 
 def _r(spark, sf_dir):
-    """Retail views per (session, folder), built once like catalog entries
-    (lazy plans; nothing is cached in memory)."""
+    """Retail views per (session, folder), built once like catalog entries;
+    the small dimension tables are persisted, the facts stay scans."""
     key = (id(spark), sf_dir)
-    if key not in _TABLE_CACHE:
-        _TABLE_CACHE[key] = retail_tables(spark, sf_dir)
-    return _TABLE_CACHE[key]
+    hit = _TABLE_CACHE.get(key)
+    if hit is None or hit[0] is not spark:
+        # the session object is kept with its tables, so its id cannot be
+        # reused by a later session while the entry exists
+        hit = _TABLE_CACHE[key] = (spark, cache_dimensions(retail_tables(spark, sf_dir)))
+    return hit[1]
 
 
 def simple(key: str, build: Callable[[dict], DataFrame]) -> None:

@@ -162,6 +162,21 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+DIMENSIONS = ("products", "categories", "suppliers", "promotions", "promotion_products")
+
+
+def cache_dimensions(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Persist the dimension tables (MEMORY_AND_DISK: evicted or lost blocks
+    are re-read or recomputed from lineage).  They are read by most
+    operators and are orders of magnitude smaller than the facts, which are
+    left as scans so their date filters keep reaching the files."""
+    from pyspark import StorageLevel
+    out = dict(tables)
+    for name in DIMENSIONS:
+        out[name] = tables[name].persist(StorageLevel.MEMORY_AND_DISK)
+    return out
+
+
 # ---------------------------------------------------------------- canonical layout (ETL)
 DATE_COLUMNS = {"sales_transactions": "transaction_date", "sales_transaction_items": "transaction_date",
                 "inventory_movements": "movement_date"}
