@@ -36,3 +36,19 @@ def test_canonical_layout_pushes_date_window(spark, retail):
     assert text.count("GreaterThanOrEqual(transaction_date") >= 2  # transactions AND items scans
     base = sales.top_selling_products(retail, "2001-08-02", 10, 365)
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, base.collect()))
+
+
+def test_bucketed_layout_joins_without_shuffle(spark, retail):
+    canon = materialize_retail(retail, shared_dir(spark, "bucketed"), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from storepulse.operators.common import sold_lines
+        text = sold_lines(canon, None)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text, text
+        df = sales.top_selling_products(canon, "2001-08-02", 10, 365)
+        base = sales.top_selling_products(retail, "2001-08-02", 10, 365)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, base.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
