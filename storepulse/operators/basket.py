@@ -10,13 +10,13 @@ places; top 20 by frequency, then confidence (then names).
 
 Plan
 ----
-Position pairs are never materialised as rows.  Item rows are first reduced
-to (basket, name) -> count with a map-side combined aggregation.  A name
+Position pairs are never materialised as rows.  Item rows are shuffled once
+by basket and reduced to (basket, name) -> count inside those partitions.  A name
 pair (a < b) then occurs count_a * count_b times in a basket and (a, a)
 count_a * (count_a - 1) / 2 times, so what has to be summed is the
-co-occurrence (Gram) matrix of the basket x name count matrix.  Baskets are
-clustered by id (one shuffle of the compact counts) and each partition
-folds its baskets into partial pair counts with numpy (``mapInPandas``);
+co-occurrence (Gram) matrix of the basket x name count matrix.  Each
+partition keeps its baskets with two or more distinct products and folds
+them into partial pair counts with numpy (``mapInPandas``);
 only those per-partition partial counts are shuffled and summed.  A huge
 basket costs one outer product over its *distinct* names, computed in
 bounded blocks, so a basket holding a third of all rows is no worse than
@@ -36,9 +36,19 @@ from storepulse.functions.columns import between_ts, round_half_up, since
 from storepulse.operators.common import Tables, sold_lines, top_k
 
 PAIR_SCHEMA = "a long, b long, w long"
+BASKETS_KEY = -1  # sentinel pair carrying the number of baskets
 BLOCK = 2048  # rows of a basket's outer product computed at once
 
 
+def _qualifying(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of baskets with at least two distinct products (the smallest and
+    largest product id of the basket differ)."""
+    g = pdf.groupby("transaction_id", sort=False)
+    lo = g["pmin"].transform("min").to_numpy()
+    hi = g["pmax"].transform("max").to_numpy()
+    return pdf[lo != hi]
+
+
 def _basket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Partial pair counts of complete baskets (rows sorted by basket)."""
     if pdf.empty:
@@ -92,6 +102,7 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     basket split across Arrow batches is carried into the next batch."""
     carry = None
     acc = []
+    n_baskets = 0
     for pdf in batches:
         if carry is not None:
             pdf = pd.concat([carry, pdf], ignore_index=True)
@@ -102,14 +113,20 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = pdf["transaction_id"].to_numpy() == last
         carry = pdf[tail]
         done = pdf[~tail]
+        done = _qualifying(done)
         if len(done):
+            n_baskets += int(done["transaction_id"].nunique())
             acc.append(_basket_pairs(done))
         if len(acc) > 16:
             acc = [pd.concat(acc).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()]
     if carry is not None and len(carry):
-        acc.append(_basket_pairs(carry))
-    if acc:
-        yield pd.concat(acc).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()
+        carry = _qualifying(carry)
+        if len(carry):
+            n_baskets += 1
+            acc.append(_basket_pairs(carry))
+    # the partition's basket count travels as one sentinel row (a = b = -1)
+    acc.append(pd.DataFrame({"a": [BASKETS_KEY], "b": [BASKETS_KEY], "w": [n_baskets]}, dtype="int64"))
+    yield pd.concat(acc).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()
 
 
 def _name_ids(r: Tables) -> DataFrame:
@@ -123,29 +140,32 @@ def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20,
     lines = sold_lines(r, window).select("transaction_id", "product_id")
     ids = _name_ids(r)
     prod = r["products"].select(F.col("id").alias("product_id"), "name").join(ids, "name").drop("name")
-    named = lines.join(prod, "product_id")
-    per_name = (named.groupBy("transaction_id", "name_id")
-                .agg(F.count(F.lit(1)).alias("c"), F.countDistinct("product_id").alias("np")))
-    basket = Window.partitionBy("transaction_id")
-    qualifying = (per_name.withColumn("n_products", F.sum("np").over(basket))
-                  .filter(F.col("n_products") >= 2).select("transaction_id", "name_id", "c"))
-    n_baskets = qualifying.agg(F.countDistinct("transaction_id").alias("n_baskets"))
-    # the basket window already hash-clusters rows by transaction and sorts
-    # them; the fold relies on exactly that (no extra shuffle)
-    partial = qualifying.sortWithinPartitions("transaction_id").mapInPandas(_fold_partition, PAIR_SCHEMA)
-    pairs = partial.groupBy("a", "b").agg(F.sum("w").alias("frequency"))
+    # one shuffle of the item rows by basket; the per-(basket, name)
+    # aggregate below is then computed inside those partitions
+    per_name = (lines.join(prod, "product_id").repartition("transaction_id")
+                .groupBy("transaction_id", "name_id")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("product_id").alias("pmin"),
+                     F.max("product_id").alias("pmax")))
+    partial = per_name.sortWithinPartitions("transaction_id").mapInPandas(_fold_partition, PAIR_SCHEMA)
+    summed = partial.groupBy("a", "b").agg(F.sum("w").alias("frequency"),
+                                           F.max((F.col("a") == BASKETS_KEY).cast("int")).alias("is_total"))
+    kept = summed.filter((F.col("is_total") == 1) | (F.col("frequency") >= min_frequency))
     ida = ids.select(F.col("name_id").alias("a"), F.col("name").alias("product_a"))
     idb = ids.select(F.col("name_id").alias("b"), F.col("name").alias("product_b"))
-    kept = (pairs.filter(F.col("frequency") >= min_frequency)
-            .join(ida, "a").join(idb, "b")
-            .crossJoin(F.broadcast(n_baskets)))  # one row
+    named = kept.join(ida, "a", "left").join(idb, "b", "left")  # the basket total keeps NULL names
     per_a = F.count(F.lit(1)).over(Window.partitionBy("product_a"))
-    scored = kept.select(
-        "product_a", "product_b", "frequency",
-        round_half_up(F.col("frequency").cast("double") / F.col("n_baskets").cast("double"), 3).alias("support"),
-        round_half_up(F.col("frequency").cast("double") / per_a.cast("double"), 3).alias("confidence"))
-    return top_k(scored, [F.col("frequency").desc(), F.col("confidence").desc(),
-                          F.col("product_a"), F.col("product_b")], limit)
+    scored = named.withColumn(
+        "confidence", round_half_up(F.col("frequency").cast("double") / per_a.cast("double"), 3))
+    # the one basket-total row rides through the top-k in first place, so
+    # support needs no second pass; the window below spans <= limit + 1 rows
+    top = top_k(scored, [F.col("is_total").desc(), F.col("frequency").desc(), F.col("confidence").desc(),
+                         F.col("product_a"), F.col("product_b")], limit + 1)
+    n_baskets = F.max(F.when(F.col("is_total") == 1, F.col("frequency"))).over(Window.partitionBy())
+    return (top.withColumn("n_baskets", n_baskets).filter(F.col("is_total") == 0)
+            .select("product_a", "product_b", "frequency",
+                    round_half_up(F.col("frequency").cast("double") / F.col("n_baskets").cast("double"), 3)
+                    .alias("support"), "confidence")
+            .orderBy(F.col("frequency").desc(), F.col("confidence").desc(), "product_a", "product_b"))
 
 
 def frequently_bought_together(r: Tables, as_of, days: int = 30, limit: int = 20) -> DataFrame:

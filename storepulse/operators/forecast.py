@@ -106,11 +106,28 @@ def _line_coefficients(idx: DataFrame) -> DataFrame:
                         / F.col("n").cast("double")))
 
 
+def _with_line(idx: DataFrame) -> DataFrame:
+    """slope / intercept on every row via window sums over the series -- the
+    rows are already clustered by series, so no join back and no re-scan."""
+    d = "decimal(38,0)"
+    w = Window.partitionBy("series_key")
+    n = F.count(F.lit(1)).over(w).cast(d)
+    sx, sxx = F.sum("x").over(w).cast(d), F.sum(F.col("x") * F.col("x")).over(w).cast(d)
+    sy = F.sum("value").over(w).cast(d)
+    sxy = F.sum(F.col("x").cast(d) * F.col("value").cast(d)).over(w).cast(d)
+    out = (idx.withColumn("_n", n).withColumn("_sx", sx).withColumn("_sxx", sxx)
+           .withColumn("_sy", sy).withColumn("_sxy", sxy))
+    slope = ((F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")).cast("double")
+             / (F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")).cast("double"))
+    out = out.withColumn("slope", slope)
+    out = out.withColumn("intercept", (F.col("_sy").cast("double") - F.col("slope") * F.col("_sx").cast("double"))
+                         / F.col("_n").cast("double"))
+    return out.drop("_n", "_sx", "_sxx", "_sy", "_sxy")
+
+
 def forecast_linear_trend(series: DataFrame, scale: float = 100.0) -> DataFrame:
     """Fitted values of the least-squares line."""
-    idx = _indexed(series)
-    coef = _line_coefficients(idx).select("series_key", "slope", "intercept")
-    return (idx.join(coef, "series_key")
+    return (_with_line(_indexed(series))
             .select("series_key", "date", _out(F.col("value").cast("double"), scale).alias("actual"),
                     _out(F.col("intercept") + F.col("slope") * F.col("x").cast("double"), scale).alias("forecast")))
 

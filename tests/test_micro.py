@@ -167,3 +167,11 @@ def test_stream_append_mode_emits_closed_windows(spark):
     # append emits only windows the watermark has closed; those are final
     assert append and set(append) < set(complete)
     assert all(complete[k] == v for k, v in append.items())
+
+
+def test_basket_empty_and_single_product_baskets(spark):
+    r = make(spark, products=[product(1, "apple"), product(2, "bread")],
+             sales_transactions=[(1, ts("2024-03-01 10:00:00"), 100)],
+             sales_transaction_items=[item(1, 1), item(1, 1)])  # one product twice: not a basket
+    assert basket.frequently_bought_together_where(r, None, min_frequency=1).count() == 0
+    assert basket.frequently_bought_together_where(make(spark), None, min_frequency=1).count() == 0
