@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, exact_avg, ratio, round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, product_dim, sold_lines, top_k
+from storepulse.operators.common import Tables, product_dim, reuse, sold_lines, top_k
 
 
 # ---------------------------------------------------------------- A13
@@ -70,7 +70,7 @@ def seasonal_trends(r: Tables, as_of, days: int = 365, start=None, end=None) ->
     w = between_ts("transaction_date", start, end) if start and end else since("transaction_date", as_of, days)
     lines = sold_lines(r, w).select("product_id", "transaction_date", "tx_cents")
     cats = product_dim(r).select("product_id", "category")
-    base = (lines.join(cats, "product_id")
+    base = reuse(lines.join(cats, "product_id")
             .groupBy(_season(F.month("transaction_date")).alias("season"), "category",
                      F.to_date("transaction_date").alias("day"))
             .agg(F.sum("tx_cents").alias("cents")))

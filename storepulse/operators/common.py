@@ -45,6 +45,20 @@ def product_dim(r: Tables, active_only: bool = False) -> DataFrame:
             .join(c, "category_id"))
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate that two branches of one plan consume.
+
+    Written once with a reliable ``checkpoint`` into the shared
+    ``spark.checkpoint.dir`` (never a local checkpoint), so the fact scan
+    and shuffles behind it run once instead of once per branch, and a lost
+    executor does not lose it.  Only used on aggregated intermediates
+    (per product/category x day), never on raw fact rows.
+    """
+    from storepulse.session import shared_dir
+    shared_dir(df.sparkSession)  # makes sure a checkpoint folder is set
+    return df.checkpoint(eager=True)
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """ORDER BY ... LIMIT k; callers include a unique tie-break so the result
     is deterministic.  Planned as TakeOrderedAndProject (per-partition top-k

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.columns import between_ts, round_half_up, since
-from storepulse.operators.common import Tables, product_dim, sold_lines, transactions
+from storepulse.operators.common import Tables, product_dim, reuse, sold_lines, transactions
 
 MIN_POINTS = 7
 ALPHA = 0.3
@@ -224,6 +224,7 @@ def forecast_quality(series: DataFrame, method: str = "moving_average", horizon:
     and its direction, MAE, accuracy = max(0, 100 - MAE / mean x 100) (0 when
     the mean is not positive), mean of the projection and its direction.
     Rounded to 4 places."""
+    series = reuse(series)  # read by the fit and the projection
     fitted = FITTERS.get(method, forecast_moving_average)(series, scale)
     future = PROJECTORS.get(method, project_moving_average)(series, horizon, scale)
     rk = F.row_number().over(Window.partitionBy("series_key").orderBy(F.col("date").desc()))
@@ -253,7 +254,6 @@ def avg_items_trendline(avg_items: DataFrame) -> DataFrame:
                               F.floor(F.col("avg_items") * 100.0 + 0.5).cast("bigint").alias("value"))
     idx = series.withColumn("x", (F.row_number().over(Window.partitionBy("series_key").orderBy("date")) - 1)
                             .cast("bigint"))
-    coef = _line_coefficients(idx).select("series_key", "slope", "intercept")
-    return (idx.join(coef, "series_key")
+    return (_with_line(idx)
             .select("date", (F.col("value").cast("double") / 100.0).alias("avg_items"),
                     _out(F.col("intercept") + F.col("slope") * F.col("x").cast("double"), 100.0).alias("trend")))

@@ -181,13 +181,6 @@ def inventory_value(r: Tables) -> DataFrame:
 RATINGS = ("EXCELLENT", "GOOD", "FAIR", "POOR")
 
 
-def _recent_or_none(per_product_any: DataFrame, per_product_recent: DataFrame) -> DataFrame:
-    """product_id -> keep flag of the D8 rule (no rows at all, or a recent one)."""
-    return (per_product_any.join(per_product_recent.select("product_id", F.lit(True).alias("recent")),
-                                 "product_id", "left")
-            .select("product_id", F.col("recent").isNotNull().alias("has_recent")))
-
-
 def supplier_performance(r: Tables, as_of, days: int = 30) -> DataFrame:
     """Per active supplier -- products supplied, inbound deliveries in
     the last ``days`` days (count, total, mean size, last date), stock
@@ -199,17 +192,20 @@ def supplier_performance(r: Tables, as_of, days: int = 30) -> DataFrame:
     """
     mv = r["inventory_movements"]
     inbound = F.col("movement_type") == "inbound"
-    recent = (mv.filter(since("movement_date", as_of, days)).groupBy("product_id")
-              .agg(_count_if(inbound).alias("deliveries"),
-                   F.sum(F.when(inbound, F.col("quantity")).otherwise(0)).alias("delivered"),
-                   F.sum(F.when(inbound, F.col("quantity"))).alias("in_sum"),
-                   F.count(F.when(inbound, F.col("quantity"))).alias("in_n"),
-                   F.max(F.when(inbound, F.col("movement_date"))).alias("last_in")))
-    ever = mv.select("product_id").distinct()
+    is_recent = since("movement_date", as_of, days)
+    in_recent = inbound & is_recent
+    # one pass over the movements: recent delivery stats and the D8 flags
+    per_product = (mv.groupBy("product_id")
+                   .agg(_count_if(in_recent).alias("deliveries"),
+                        F.sum(F.when(in_recent, F.col("quantity")).otherwise(0)).alias("delivered"),
+                        F.sum(F.when(in_recent, F.col("quantity"))).alias("in_sum"),
+                        F.count(F.when(in_recent, F.col("quantity"))).alias("in_n"),
+                        F.max(F.when(in_recent, F.col("movement_date"))).alias("last_in"),
+                        F.max(F.when(is_recent, F.lit(1))).alias("recent")))
     prods = r["products"].select(F.col("id").alias("product_id"), "supplier_id")
     # product rows surviving the filter: with a recent movement, or with none at all
-    kept = (prods.join(recent, "product_id", "left").join(ever.withColumn("moved", F.lit(True)), "product_id", "left")
-            .filter(F.col("deliveries").isNotNull() | F.col("moved").isNull()))
+    kept = (prods.join(per_product, "product_id", "left")
+            .filter(F.col("recent").isNotNull() | F.col("deliveries").isNull()))
     per_sup = (kept.groupBy("supplier_id")
                .agg(F.countDistinct("product_id").alias("products_supplied"),
                     F.coalesce(F.sum("deliveries"), F.lit(0)).cast("bigint").alias("delivery_count"),

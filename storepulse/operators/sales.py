@@ -17,7 +17,7 @@ from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, cents_sum, day_range, exact_avg, ratio,
     round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, product_dim, sold_lines, top_k, transactions
+from storepulse.operators.common import Tables, product_dim, reuse, sold_lines, top_k, transactions
 
 
 # ---------------------------------------------------------------- M1 / M2 / M12
@@ -115,7 +115,7 @@ def product_sales_trends(r: Tables, as_of, days: int = 30, limit: int = 10) -> D
     daily_pid = (lines.groupBy("product_id", F.to_date("transaction_date").alias("sale_date"))
                  .agg(F.sum("quantity").alias("daily_quantity"),
                       F.sum("total_cents").alias("daily_cents")))
-    daily = daily_pid.join(product_dim(r).select("product_id", "product_name", "category"), "product_id")
+    daily = reuse(daily_pid.join(product_dim(r).select("product_id", "product_name", "category"), "product_id"))
     totals = (daily.groupBy("product_name", "category")
               .agg(F.sum("daily_quantity").alias("total_quantity"),
                    exact_avg("daily_quantity").alias("avg_daily_quantity"),
