@@ -38,7 +38,8 @@ def stream_table(spark: SparkSession, folder: str, table: str, max_files_per_tri
     return reader.parquet(folder)
 
 
-def run_stream(stream: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
+def run_stream(stream: DataFrame, name: str, output_mode: str = "complete",
+               keys: list[str] | None = None) -> DataFrame:
     """Run a streaming aggregation until the available input is consumed and
     return its result.
 
@@ -46,7 +47,12 @@ def run_stream(stream: DataFrame, name: str, output_mode: str = "complete") -> D
     result and overwrites one parquet folder via ``foreachBatch``, so a
     retried batch rewrites the same output.  ``append`` (long-running use):
     windows are emitted once the watermark passes them and their state is
-    dropped, written by the exactly-once parquet file sink.
+    dropped, written by the exactly-once parquet file sink.  ``update``
+    (live dashboard): each micro-batch carries only the windows that
+    changed; they replace their previous version by ``keys`` (default: the
+    window).  Every epoch writes a new folder (the previous result merged
+    with the batch), so a retried epoch rewrites its own folder and no
+    folder is read and overwritten at once.
     """
     spark = stream.sparkSession
     base = shared_dir(spark, "stream", name)
@@ -54,6 +60,22 @@ def run_stream(stream: DataFrame, name: str, output_mode: str = "complete") -> D
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{base}/checkpoint")
     if output_mode == "append":
         writer = writer.format("parquet").option("path", out)
+    elif output_mode == "update":
+        keys = keys or ["window"]
+        latest = {"path": None}
+
+        def upsert(batch: DataFrame, epoch_id: int) -> None:
+            path = f"{out}/epoch={epoch_id}"
+            merged = batch
+            if latest["path"]:
+                previous = batch.sparkSession.read.parquet(latest["path"])
+                merged = previous.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+            merged.write.mode("overwrite").parquet(path)
+            latest["path"] = path
+
+        writer = writer.foreachBatch(upsert)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(latest["path"]) if latest["path"] else spark.createDataFrame([], stream.schema)
     else:
         def write(batch: DataFrame, epoch_id: int) -> None:
             batch.write.mode("overwrite").parquet(out)
@@ -62,8 +84,8 @@ def run_stream(stream: DataFrame, name: str, output_mode: str = "complete") -> D
     return spark.read.parquet(out)
 
 
-def _purchases(spark: SparkSession, folder: str) -> DataFrame:
-    ev = stream_table(spark, folder, "events")
+def _purchases(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    ev = stream_table(spark, folder, "events", max_files_per_trigger)
     return (ev.filter(F.col("event_type") == "purchase")
             .select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
             .withWatermark("ts", EVENT_WATERMARK))
@@ -84,11 +106,12 @@ def stream_hourly_sales(spark: SparkSession, folder: str, output_mode: str = "co
                       round_half_up(F.col("rev"), 6).alias("hourly_revenue"), "items_sold")
 
 
-def stream_daily_dashboard(spark: SparkSession, folder: str) -> DataFrame:
+def stream_daily_dashboard(spark: SparkSession, folder: str, output_mode: str = "complete",
+                           max_files_per_trigger: int | None = None) -> DataFrame:
     """ST2 (A1): per day -- purchases, revenue and average ticket."""
-    agg = (_purchases(spark, folder).groupBy(F.window("ts", "1 day"))
+    agg = (_purchases(spark, folder, max_files_per_trigger).groupBy(F.window("ts", "1 day"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("rev")))
-    res = run_stream(agg, "daily-dashboard")
+    res = run_stream(agg, "daily-dashboard", output_mode)
     return res.select(F.to_date(F.col("window.start").cast("timestamp_ntz")).alias("day"),
                       F.col("n").alias("todays_transactions"),
                       round_half_up(F.col("rev"), 6).alias("todays_revenue"),
