@@ -130,10 +130,11 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _name_ids(r: Tables) -> DataFrame:
-    """Dense ids following name order (so id order == name order).  The
-    ranking window runs over the distinct names only."""
-    names = r["products"].select("name").distinct()
-    return names.select("name", F.dense_rank().over(Window.orderBy("name")).cast("bigint").alias("name_id"))
+    """One integer id per product name: the smallest product id carrying it.
+    A grouped aggregate (partial per map task, hash-partitioned by name), so
+    no single task sees every name.  Ids need not follow name order: pairs
+    are keyed (smaller id, larger id) and put in name order once named."""
+    return r["products"].groupBy("name").agg(F.min("id").alias("name_id"))
 
 
 def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20, min_frequency: int = 3) -> DataFrame:
@@ -152,7 +153,11 @@ def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20,
     kept = summed.filter((F.col("is_total") == 1) | (F.col("frequency") >= min_frequency))
     ida = ids.select(F.col("name_id").alias("a"), F.col("name").alias("product_a"))
     idb = ids.select(F.col("name_id").alias("b"), F.col("name").alias("product_b"))
-    named = kept.join(ida, "a", "left").join(idb, "b", "left")  # the basket total keeps NULL names
+    # the basket total keeps NULL names; a pair is reported in name order
+    joined = kept.join(ida, "a", "left").join(idb, "b", "left")
+    named = joined.select(
+        F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b"),
+        "frequency", "is_total")
     per_a = F.count(F.lit(1)).over(Window.partitionBy("product_a"))
     scored = named.withColumn(
         "confidence", round_half_up(F.col("frequency").cast("double") / per_a.cast("double"), 3))

@@ -135,6 +135,25 @@ def test_basket_pairs_with_duplicates_match_brute_force(spark):
     assert all(a <= b for a, b in got)
 
 
+def test_basket_pairs_in_name_order_when_ids_are_not(spark):
+    # product ids run against name order, and one name has two ids
+    products = [product(1, "zucchini"), product(2, "melon"), product(3, "apple"), product(4, "zucchini")]
+    baskets = {1: [1, 2, 3], 2: [4, 3], 3: [2, 1, 4], 4: [3, 2], 5: [1, 3, 2, 2]}
+    txs = [(t, ts("2024-03-01 10:00:00"), 100) for t in baskets]
+    items = [item(t, p) for t, ps in baskets.items() for p in ps]
+    r = make(spark, products=products, sales_transactions=txs, sales_transaction_items=items)
+    got = rows(basket.frequently_bought_together_where(r, None, limit=100, min_frequency=1))
+    names = {p[0]: p[1] for p in products}
+    brute = dict(_brute_pairs([[names[p] for p in ps] for ps in baskets.values() if len(set(ps)) >= 2]))
+    assert {(x["product_a"], x["product_b"]): x["frequency"] for x in got} == brute
+    per_a = {}
+    for a, _ in brute:
+        per_a[a] = per_a.get(a, 0) + 1
+    for x in got:
+        assert x["product_a"] <= x["product_b"]
+        assert x["confidence"] == round(x["frequency"] / per_a[x["product_a"]] + 1e-12, 3)
+
+
 def test_huge_basket_block_path(monkeypatch):
     rng = np.random.default_rng(7)
     k = 40
