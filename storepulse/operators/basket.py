@@ -10,10 +10,10 @@ places; top 20 by frequency, then confidence (then names).
 
 Plan
 ----
-Position pairs are never materialised as rows.  Item rows are shuffled once
-by basket and reduced to (basket, name) -> count inside those partitions.  A name
-pair (a < b) then occurs count_a * count_b times in a basket and (a, a)
-count_a * (count_a - 1) / 2 times, so what has to be summed is the
+Position pairs are never materialised as rows.  Item rows are reduced to
+(basket, name) -> count (partially before the shuffle) and then clustered by
+basket.  A name pair (a < b) then occurs count_a * count_b times in a
+basket and (a, a) count_a * (count_a - 1) / 2 times, so what has to be summed is the
 co-occurrence (Gram) matrix of the basket x name count matrix.  Each
 partition keeps its baskets with two or more distinct products and folds
 them into partial pair counts with numpy (``mapInPandas``);
@@ -141,13 +141,16 @@ def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20,
     lines = sold_lines(r, window).select("transaction_id", "product_id")
     ids = _name_ids(r)
     prod = r["products"].select(F.col("id").alias("product_id"), "name").join(ids, "name").drop("name")
-    # one shuffle of the item rows by basket; the per-(basket, name)
-    # aggregate below is then computed inside those partitions
-    per_name = (lines.join(prod, "product_id").repartition("transaction_id")
+    # item rows are reduced to (basket, name) -> count with map-side partial
+    # aggregation before any shuffle, and only those rows are then clustered
+    # by basket for the fold: a basket holding a third of all rows reaches its
+    # task as one row per distinct name, never as its raw item rows
+    per_name = (lines.join(prod, "product_id")
                 .groupBy("transaction_id", "name_id")
                 .agg(F.count(F.lit(1)).alias("c"), F.min("product_id").alias("pmin"),
                      F.max("product_id").alias("pmax")))
-    partial = per_name.sortWithinPartitions("transaction_id").mapInPandas(_fold_partition, PAIR_SCHEMA)
+    partial = (per_name.repartition("transaction_id").sortWithinPartitions("transaction_id")
+               .mapInPandas(_fold_partition, PAIR_SCHEMA))
     summed = partial.groupBy("a", "b").agg(F.sum("w").alias("frequency"),
                                            F.max((F.col("a") == BASKETS_KEY).cast("int")).alias("is_total"))
     kept = summed.filter((F.col("is_total") == 1) | (F.col("frequency") >= min_frequency))
