@@ -52,3 +52,18 @@ def test_bucketed_layout_joins_without_shuffle(spark, retail):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_basket_rows_are_aggregated_before_the_basket_shuffle(spark):
+    """The exchange that clusters rows by basket sits above the
+    per-(basket, name) aggregate, so raw item rows are never sent to their
+    basket's task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(queries()["frequently_bought_together"](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = p.splitlines()
+    at = next(i for i, s in enumerate(lines) if "REPARTITION_BY_COL" in s)
+    assert "HashAggregate(keys=[transaction_id" in lines[at + 1], "\n".join(lines[at - 2:at + 4])
+    assert "partial_count" in "\n".join(lines[at + 1:at + 5])
