@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import minhash, mixing, urlfilter
+from storepulse.llm import minhash, mixing, pii, secrets, urlfilter
+from storepulse.llm import spans as sp
 from storepulse.llm.common import read_table
 
 #: Rules and host terms of the URL filter (fixed values).
@@ -39,10 +40,28 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def _span_digest(found: DataFrame, base: list[str], kinds: list[str]) -> DataFrame:
+    return found.select(
+        "doc_id", *[sp.count_of(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(base)],
+        F.sha2(sp.joined(F.col("base"), kinds), 256).alias("base_sha256"), sp.joined(F.col("spans"), kinds).alias("spans"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(pii.detect(docs), pii.BASE, pii.KINDS)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(secrets.detect(docs), secrets.BASE, secrets.KINDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
