@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import minhash, mixing, pii, secrets, urlfilter
+from storepulse.llm import minhash, mixing, pii, repair, secrets, sepscan, urlfilter
 from storepulse.llm import spans as sp
 from storepulse.llm.common import read_table
 
@@ -51,6 +51,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.detect(docs), pii.BASE, pii.KINDS)
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sepscan.count_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return _span_digest(secrets.detect(docs), secrets.BASE, secrets.KINDS)
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
+    "op8_token_ids": op8_token_ids,
+    "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
 
