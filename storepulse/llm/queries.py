@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import minhash, mixing, pii, repair, secrets, sepscan, urlfilter
+from storepulse.llm import decontam, minhash, mixing, pii, quality, repair, secrets, sepscan, toxicity, urlfilter
 from storepulse.llm import spans as sp
 from storepulse.llm.common import read_table
 
@@ -17,11 +17,36 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 LISTED_TERMS = r"(spam|pills|casino|bets|adult|ads-track)"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the benchmark item, one row per pair."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(decontam.numbered(docs), read_table(spark, sf_dir, "benchmark"))
+    best = found.groupBy("doc", "item").agg(F.max(F.struct("share", "covered", (-F.col("start")).alias("start"), "tokens", "slots_changed")).alias("b"))
+    ids = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("doc"))
+    return ids.join(best, "doc").select(
+        "doc_id", F.col("item").alias("item_id"), F.lit(True).alias("contaminated"), (-F.col("b.start")).alias("start"),
+        F.col("b.covered").alias("covered"), F.col("b.tokens").alias("tokens"), F.col("b.share").alias("share"), F.col("b.slots_changed").alias("slots_changed"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from storepulse.llm.common import written
 
@@ -65,7 +90,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
