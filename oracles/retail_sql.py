@@ -51,7 +51,7 @@ promotions AS (
            CAST(DATE '1995-06-01' + CAST((i - 1) * 180 + 30 AS INTEGER) AS DATE) AS end_date,
            (i % 6 <> 0) AS is_active,
            CAST(DATE '1995-06-01' + CAST((i - 1) * 180 - 7 AS INTEGER) AS DATE) AS created_at
-    FROM range(1, 13) t(i)
+    FROM (SELECT DISTINCT p_partkey % 12 + 1 AS i FROM part) t
 ),
 promotion_products AS (
     SELECT p_partkey % 12 + 1 AS promotion_id, p_partkey AS product_id FROM part WHERE p_partkey % 5 = 0

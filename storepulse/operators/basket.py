@@ -17,10 +17,9 @@ basket and (a, a) count_a * (count_a - 1) / 2 times, so what has to be summed is
 co-occurrence (Gram) matrix of the basket x name count matrix.  Each
 partition keeps its baskets with two or more distinct products and folds
 them into partial pair counts with numpy (``mapInPandas``);
-only those per-partition partial counts are shuffled and summed.  A huge
-basket costs one outer product over its *distinct* names, computed in
-bounded blocks, so a basket holding a third of all rows is no worse than
-its distinct-name count.
+only those per-partition partial counts are shuffled and summed.  Pairs are
+computed, and partial counts held, a bounded number at a time, whatever the
+size of a basket.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from storepulse.operators.common import Tables, sold_lines, top_k
 
 PAIR_SCHEMA = "a long, b long, w long"
 BASKETS_KEY = -1  # sentinel pair carrying the number of baskets
-BLOCK = 2048  # rows of a basket's outer product computed at once
+PAIRS = 1 << 20  # pairs computed, and partial sums held, at once
 
 
 def _qualifying(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,84 +48,82 @@ def _qualifying(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[lo != hi]
 
 
-def _basket_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Partial pair counts of complete baskets (rows sorted by basket)."""
-    if pdf.empty:
-        return pd.DataFrame({"a": [], "b": [], "w": []}, dtype="int64")
+def _pair_parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Partial pair counts of complete baskets (rows sorted by basket), in
+    parts of about PAIRS pairs: every row is paired with the rows after it in
+    its basket, so a basket of any size is cut between rows."""
     tx = pdf["transaction_id"].to_numpy()
     name = pdf["name_id"].to_numpy(dtype=np.int64)
     cnt = pdf["c"].to_numpy(dtype=np.int64)
-    parts_a, parts_b, parts_w = [], [], []
-    # same-name pairs inside a basket: C(count, 2)
-    same = cnt >= 2
+    same = cnt >= 2  # same-name pairs inside a basket: C(count, 2)
     if same.any():
-        parts_a.append(name[same])
-        parts_b.append(name[same])
-        parts_w.append(cnt[same] * (cnt[same] - 1) // 2)
-    starts = np.flatnonzero(np.r_[True, tx[1:] != tx[:-1]])
-    sizes = np.diff(np.r_[starts, len(tx)])
-    # small baskets: vectorised per basket size with triangular index pairs
-    for k in np.unique(sizes):
-        if k < 2:
-            continue
-        sel = starts[sizes == k]
-        if k <= BLOCK:
-            rows = sel[:, None] + np.arange(k)[None, :]
-            iu, ju = np.triu_indices(k, 1)
-            na, nb = name[rows][:, iu].ravel(), name[rows][:, ju].ravel()
-            wa = (cnt[rows][:, iu] * cnt[rows][:, ju]).ravel()
-            parts_a.append(np.minimum(na, nb))
-            parts_b.append(np.maximum(na, nb))
-            parts_w.append(wa)
-        else:  # a huge basket: its outer product in bounded row blocks
-            for s in sel:
-                nm, ct = name[s:s + k], cnt[s:s + k]
-                for i0 in range(0, k - 1, BLOCK):
-                    i1 = min(i0 + BLOCK, k - 1)
-                    ii = np.arange(i0, i1)[:, None]
-                    jj = np.arange(k)[None, :]
-                    mask = jj > ii
-                    ii_b, jj_b = np.broadcast_to(ii, mask.shape)[mask], np.broadcast_to(jj, mask.shape)[mask]
-                    na, nb = nm[ii_b], nm[jj_b]
-                    parts_a.append(np.minimum(na, nb))
-                    parts_b.append(np.maximum(na, nb))
-                    parts_w.append(ct[ii_b] * ct[jj_b])
-    if not parts_a:
-        return pd.DataFrame({"a": [], "b": [], "w": []}, dtype="int64")
-    out = pd.DataFrame({"a": np.concatenate(parts_a), "b": np.concatenate(parts_b), "w": np.concatenate(parts_w)})
-    return out.groupby(["a", "b"], sort=False, as_index=False)["w"].sum()
+        yield pd.DataFrame({"a": name[same], "b": name[same], "w": cnt[same] * (cnt[same] - 1) // 2})
+    ends = np.append(np.flatnonzero(tx[1:] != tx[:-1]) + 1, len(tx))
+    rows = np.arange(len(tx))
+    partners = ends[np.searchsorted(ends, rows, "right")] - rows - 1
+    upto = np.cumsum(partners)
+    first = 0
+    while first < len(tx):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
+        n = partners[first:last]
+        left = np.repeat(rows[first:last], n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(upto[first:last] - n - before, n)
+        if len(left):
+            yield pd.DataFrame({"a": np.minimum(name[left], name[right]), "b": np.maximum(name[left], name[right]),
+                                "w": cnt[left] * cnt[right]})
+        first = last
+
+
+def _summed(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fold one partition (sorted by basket) into partial pair counts; a
-    basket split across Arrow batches is carried into the next batch."""
-    carry = None
-    acc = []
-    n_baskets = 0
+    basket split across Arrow batches is held back until it is complete.
+    Partial sums are handed on whenever PAIRS of them are held -- the sum over
+    all partitions is taken downstream anyway -- so memory stays bounded."""
+    open_parts: list[pd.DataFrame] = []
+    held: list[pd.DataFrame] = []
+    size = n_baskets = 0
+
+    def complete(pdf):
+        nonlocal n_baskets
+        pdf = _qualifying(pdf)
+        n_baskets += int(pdf["transaction_id"].nunique())
+        return _pair_parts(pdf) if len(pdf) else ()
+
+    def fold(parts):
+        nonlocal held, size
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= 2 * PAIRS:
+                merged = _summed(held)
+                held, size = [merged], len(merged)
+                if size >= PAIRS:
+                    yield merged
+                    held, size = [], 0
+
     for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
         if pdf.empty:
-            carry = None
             continue
-        last = pdf["transaction_id"].iloc[-1]
-        tail = pdf["transaction_id"].to_numpy() == last
-        carry = pdf[tail]
-        done = pdf[~tail]
-        done = _qualifying(done)
-        if len(done):
-            n_baskets += int(done["transaction_id"].nunique())
-            acc.append(_basket_pairs(done))
-        if len(acc) > 16:
-            acc = [pd.concat(acc).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()]
-    if carry is not None and len(carry):
-        carry = _qualifying(carry)
-        if len(carry):
-            n_baskets += 1
-            acc.append(_basket_pairs(carry))
+        tx = pdf["transaction_id"].to_numpy()
+        if open_parts and tx[0] != open_parts[0]["transaction_id"].iloc[0]:
+            yield from fold(complete(pd.concat(open_parts, ignore_index=True)))
+            open_parts = []
+        other = np.flatnonzero(tx != tx[-1])
+        tail = int(other[-1]) + 1 if len(other) else 0  # where the last, perhaps unfinished, basket begins
+        if tail:
+            yield from fold(complete(pd.concat([*open_parts, pdf.iloc[:tail]], ignore_index=True)))
+            open_parts = []
+        open_parts.append(pdf.iloc[tail:])
+    if open_parts:
+        yield from fold(complete(pd.concat(open_parts, ignore_index=True)))
     # the partition's basket count travels as one sentinel row (a = b = -1)
-    acc.append(pd.DataFrame({"a": [BASKETS_KEY], "b": [BASKETS_KEY], "w": [n_baskets]}, dtype="int64"))
-    yield pd.concat(acc).groupby(["a", "b"], sort=False, as_index=False)["w"].sum()
+    held.append(pd.DataFrame({"a": [BASKETS_KEY], "b": [BASKETS_KEY], "w": [n_baskets]}, dtype="int64"))
+    yield _summed(held)
 
 
 def _name_ids(r: Tables) -> DataFrame:
@@ -161,9 +158,11 @@ def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20,
     named = joined.select(
         F.least("product_a", "product_b").alias("product_a"), F.greatest("product_a", "product_b").alias("product_b"),
         "frequency", "is_total")
-    per_a = F.count(F.lit(1)).over(Window.partitionBy("product_a"))
-    scored = named.withColumn(
-        "confidence", round_half_up(F.col("frequency").cast("double") / per_a.cast("double"), 3))
+    # a grouped count, so a hot name is no single task; both branches read the
+    # same shuffle of the partial sums
+    per_a = named.groupBy("product_a").agg(F.count(F.lit(1)).alias("per_a"))
+    scored = named.join(per_a, "product_a", "left").withColumn(
+        "confidence", round_half_up(F.col("frequency").cast("double") / F.col("per_a").cast("double"), 3)).drop("per_a")
     # the one basket-total row rides through the top-k in first place, so
     # support needs no second pass; the window below spans <= limit + 1 rows
     top = top_k(scored, [F.col("is_total").desc(), F.col("frequency").desc(), F.col("confidence").desc(),

@@ -157,7 +157,10 @@ def popular_products_view(r: Tables, as_of, days: int = 30, metric: str = "total
     if start and end:
         s, e = to_datetime(start), to_datetime(end)
         mid = s + (e - s) / 2
-        df = _product_ranking(r, between_ts("transaction_date", s, e), category, limit, metric, mid)
+        # the range form knows no growth order: it takes the best sellers and
+        # only shows them in order of growth
+        by = metric if metric != "growth_rate" else "total_sold"
+        df = _product_ranking(r, between_ts("transaction_date", s, e), category, limit, by, mid)
     else:
         df = popular_products_by_category(r, as_of, category, limit, days, metric)
     df = (df.withColumnRenamed("avg_selling_price", "avg_price")

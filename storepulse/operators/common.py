@@ -23,14 +23,17 @@ def sold_lines(r: Tables, window: Column | None = None) -> DataFrame:
     """
     tx = transactions(r, window).select(
         F.col("id").alias("transaction_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
+    return items_in(r, window).join(tx, "transaction_id")
+
+
+def items_in(r: Tables, window: Column | None = None) -> DataFrame:
+    """Item rows that can belong to transactions of the window: pruned by
+    the date that the canonical layout keeps on them, all of them on the
+    plain views (the join with the filtered transactions decides)."""
     items = r["sales_transaction_items"]
-    if "transaction_date" in items.columns:
-        # canonical layout (see sources.retail.materialize_retail): the item
-        # scan is pruned by the same window before the join
-        if window is not None:
-            items = items.filter(window)
-        items = items.drop("transaction_date")
-    return items.join(tx, "transaction_id")
+    if "transaction_date" not in items.columns:
+        return items
+    return (items.filter(window) if window is not None else items).drop("transaction_date")
 
 
 def product_dim(r: Tables, active_only: bool = False) -> DataFrame:

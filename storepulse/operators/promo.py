@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.columns import as_ts, between_ts, cents_avg, ratio, round_half_up, to_datetime
-from storepulse.operators.common import Tables, top_k
+from storepulse.operators.common import Tables, items_in, sold_lines, top_k
 
 
 def _ts_of(date_col: str):
@@ -147,32 +147,28 @@ def promotion_dates(r: Tables, promotion_id: int) -> DataFrame:
 
 def promotion_comparison(r: Tables, promotion_id: int, start_date=None, end_date=None) -> DataFrame:
     """A10: sales of the promotion's products in the 30 days before its
-    start ([start-30d, start-1d]) and during it ([start, end]), one row.
-
-    The promotion's two dates are looked up first (a primary-key lookup of
-    one row, via A22) so both windows become literal predicates that reach
-    the transaction scan; then one pass computes both periods with
-    conditional aggregates.
+    start ([start-30d, start-1d]) and during it ([start, end]); always one
+    row, with null sums and zero counts when nothing matches or the promotion
+    is unknown.
+
+    Where the dates are not given, the promotion's row is joined to the lines
+    (one row, so a bounded broadcast) and one pass computes both periods with
+    conditional aggregates; given dates become literal predicates that reach
+    the transaction scan.
     """
-    if start_date is None or end_date is None:
-        row = promotion_dates(r, promotion_id).first()
-        if row is None:
-            start_date = end_date = None
-        else:
-            start_date, end_date = row["start_date"], row["end_date"]
-    spark = r["promotions"].sparkSession
-    if start_date is None:
-        return spark.createDataFrame([], "revenue_before double, quantity_before bigint, transactions_before bigint, "
-                                         "revenue_during double, quantity_during bigint, transactions_during bigint")
-    s = to_datetime(start_date)
-    e = to_datetime(end_date)
-    before = between_ts("transaction_date", s - _dt.timedelta(days=30), s - _dt.timedelta(days=1))
-    during = between_ts("transaction_date", s, e)
     prods = r["promotion_products"].filter(F.col("promotion_id") == F.lit(promotion_id)).select("product_id")
-    tx = r["sales_transactions"].filter(before | during).select(
-        F.col("id").alias("transaction_id"), "transaction_date")
-    items = r["sales_transaction_items"].select("transaction_id", "product_id", "quantity", "total_cents")
-    lines = items.join(tx, "transaction_id").join(prods, "product_id")
+    day = F.col("transaction_date")
+    if start_date is not None and end_date is not None:
+        s, e = as_ts(start_date), as_ts(end_date)
+        window = (day >= as_ts(to_datetime(start_date) - _dt.timedelta(days=30))) & (day <= e)
+        lines = sold_lines(r, window)
+    else:
+        dates = promotion_dates(r, promotion_id).agg(F.min("start_date").alias("p_start"), F.min("end_date").alias("p_end"))
+        lines = sold_lines(r).crossJoin(F.broadcast(dates))  # one row
+        s, e = _ts_of("p_start"), _ts_of("p_end")
+    before = (day >= s - F.expr("INTERVAL 30 DAYS")) & (day <= s - F.expr("INTERVAL 1 DAY"))
+    during = (day >= s) & (day <= e)
+    lines = lines.filter(before | during).join(prods, "product_id")
 
     def period(cond, p):
         return [(F.sum(F.when(cond, F.col("total_cents"))).cast("double") / 100.0).alias(f"revenue_{p}"),
@@ -240,7 +236,7 @@ def promo_vs_non_promo(r: Tables, p_start, p_end, n_start, n_end) -> DataFrame:
     nc = between_ts("transaction_date", n_start, n_end)
     tx = r["sales_transactions"].filter(pc | nc).select(
         F.col("id").alias("transaction_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
-    lines = tx.join(r["sales_transaction_items"].select("transaction_id", "quantity"), "transaction_id", "left")
+    lines = tx.join(items_in(r, pc | nc).select("transaction_id", "quantity"), "transaction_id", "left")
 
     def aggs(cond, p):
         t = F.when(cond, F.col("tx_cents"))

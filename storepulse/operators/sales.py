@@ -17,7 +17,7 @@ from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, cents_sum, day_range, exact_avg, ratio,
     round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, product_dim, reuse, sold_lines, top_k, transactions
+from storepulse.operators.common import Tables, items_in, product_dim, reuse, sold_lines, top_k, transactions
 
 
 # ---------------------------------------------------------------- M1 / M2 / M12
@@ -130,13 +130,11 @@ def product_sales_trends(r: Tables, as_of, days: int = 30, limit: int = 10) -> D
 
 
 def product_trend_summary(trends: DataFrame) -> DataFrame:
-    """One row per (name, category) of an M13 frame.  The reference
-    takes the first value; the values only differ under the D9 fan-out, so
-    ``max`` is used to make the choice deterministic."""
-    return (trends.groupBy("product_name", "category")
-            .agg(F.max("total_quantity").alias("total_quantity"),
-                 F.max("avg_daily_quantity").alias("avg_daily_quantity"),
-                 F.max("days_with_sales").alias("days_with_sales")))
+    """One row per (name, category) of an M13 frame: the three totals
+    of the group's first row in total-quantity order.  They differ within a
+    group only under the D9 fan-out and always come from one row."""
+    first = F.max(F.struct("total_quantity", "avg_daily_quantity", "days_with_sales"))
+    return trends.groupBy("product_name", "category").agg(first.alias("t")).select("product_name", "category", "t.*")
 
 
 def product_trend_top5_series(trends: DataFrame, n: int = 5) -> DataFrame:
@@ -214,9 +212,10 @@ def transaction_behavior(r: Tables, as_of, days: int = 30) -> DataFrame:
     items per transaction.  Items are pre-aggregated per transaction before
     the left join (joined on the transaction id, D4); no row when the window
     is empty (GROUP BY of a constant)."""
-    per_tx = (r["sales_transaction_items"].groupBy("transaction_id")
+    window = since("transaction_date", as_of, days)
+    per_tx = (items_in(r, window).groupBy("transaction_id")
               .agg(F.sum("quantity").alias("items_per_transaction")))
-    tx = transactions(r, since("transaction_date", as_of, days)).withColumnRenamed("id", "transaction_id")
+    tx = transactions(r, window).withColumnRenamed("id", "transaction_id")
     return (tx.join(per_tx, "transaction_id", "left")
             .groupBy(F.lit("All Transactions").alias("transaction_type"))
             .agg(F.count("transaction_id").alias("transaction_count"),
@@ -266,22 +265,14 @@ COMPARISON_LABELS = {
 
 
 def comparison_bounds(as_of, days: int = 30, comparison_type: str = "vs_last_period", start=None, end=None):
-    """Day bounds (current_start, current_end, prev_start, prev_end)."""
-    if start and end:
-        cs, ce = to_datetime(start).date(), to_datetime(end).date()
-        period_days = (ce - cs).days + 1
-    else:
-        ce = to_datetime(as_of).date()
-        cs = ce - _dt.timedelta(days=days - 1)
-        period_days = days
-    if comparison_type == "vs_last_period":
-        pe = cs - _dt.timedelta(days=1)
-        ps = pe - _dt.timedelta(days=period_days - 1)
-    elif comparison_type == "vs_last_year":
-        ps, pe = cs - _dt.timedelta(days=365), ce - _dt.timedelta(days=365)
-    else:
-        ps, pe = cs - _dt.timedelta(days=30), ce - _dt.timedelta(days=30)
-    return cs, ce, ps, pe
+    """Day bounds (current_start, current_end, prev_start, prev_end): the
+    earlier period is the current one moved back by its own length, by a year
+    of 365 days or by 30 days."""
+    last = to_datetime(end if start and end else as_of).date()
+    length = (last - to_datetime(start).date()).days + 1 if start and end else days
+    first = last - _dt.timedelta(days=length - 1)
+    back = _dt.timedelta(days={"vs_last_period": length, "vs_last_year": 365}.get(comparison_type, 30))
+    return first, last, first - back, last - back
 
 
 def sales_comparison(r: Tables, as_of, days: int = 30, comparison_type: str = "vs_last_period",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.functions.columns import between_ts, round_half_up, to_datetime, week_closing_monday
-from storepulse.operators.common import Tables, reuse, transactions
+from storepulse.operators.common import Tables, items_in, reuse, transactions
 
 DEFAULT_SPANS = {"hour": _dt.timedelta(days=1), "day": _dt.timedelta(days=7), "week": _dt.timedelta(weeks=4)}
 OTHER_SPAN = _dt.timedelta(weeks=8)
@@ -60,9 +60,9 @@ def customer_traffic(r: Tables, as_of, period_type: str = "day", start=None, end
     """
     start, end = traffic_bounds(as_of, period_type, start, end)
     bucket, step = _bucket(period_type)
-    tx = transactions(r, between_ts("transaction_date", start, end)).select(
-        F.col("id").alias("transaction_id"), "transaction_date")
-    items = r["sales_transaction_items"].select("transaction_id", "quantity", "total_cents")
+    window = between_ts("transaction_date", start, end)
+    tx = transactions(r, window).select(F.col("id").alias("transaction_id"), "transaction_date")
+    items = items_in(r, window).select("transaction_id", "quantity", "total_cents")
     # one row per busy bucket; read twice (bounds of the spine, then the
     # gap-filling join), so it is materialised once
     agg = reuse(tx.join(items, "transaction_id", "left")
@@ -107,8 +107,11 @@ def traffic_summary(traffic: DataFrame) -> DataFrame:
                        round_half_up(F.avg("avg_transaction_value"), 6).alias("avg_transaction"))
 
 
-def traffic_layer_compare(layers: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Overlay of saved traffic layers (same period type) as one long
-    frame aligned on ``time_period``."""
-    tagged = [df.select(F.lit(label).alias("layer"), *df.columns) for label, df in layers]
+def traffic_layer_compare(layers: list[tuple]) -> DataFrame:
+    """Overlay of saved traffic layers as one long frame aligned on
+    ``time_period``.  A layer is (label, frame) or (label, frame,
+    period_type); layers of different period types cannot be overlaid."""
+    if len({layer[2] for layer in layers if len(layer) > 2}) > 1:
+        raise ValueError("traffic layers of different period types cannot be compared")
+    tagged = [layer[1].select(F.lit(layer[0]).alias("layer"), *layer[1].columns) for layer in layers]
     return reduce(DataFrame.unionByName, tagged)

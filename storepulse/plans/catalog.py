@@ -70,6 +70,10 @@ simple("avg_items_per_transaction", lambda r: S.avg_items_per_transaction(r, P.A
 simple("avg_items_per_transaction_range",
        lambda r: S.avg_items_per_transaction_range(r, P.RANGE_START, P.RANGE_END))
 simple("monthly_sales", lambda r: S.monthly_sales(r, P.AS_OF, P.FULL_DAYS))
+for _m in ("revenue", "avg_transaction_value"):
+    simple(f"sales_trend_metric_{_m}", lambda r, _m=_m: S.sales_trend_metric(S.sales_trend(r, P.AS_OF, P.FULL_DAYS), _m))
+for _c in ("vs_last_period", "vs_last_month"):
+    simple(f"sales_comparison_{_c}", lambda r, _c=_c: S.sales_comparison(r, P.AS_OF, 365, _c))
 simple("sales_comparison", lambda r: S.sales_comparison(r, P.AS_OF, 365, P.COMPARISON))
 
 # ---------------------------------------------------------------- traffic
@@ -82,8 +86,8 @@ for _pt in ("hour", "day", "week", "month"):
 simple("traffic_summary",
        lambda r: TR.traffic_summary(TR.customer_traffic(r, P.AS_OF, "day", P.HISTORY_START, P.HISTORY_END)))
 simple("traffic_layer_compare", lambda r: TR.traffic_layer_compare([
-    ("A", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_A)),
-    ("B", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_B))]))
+    ("A", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_A), "day"),
+    ("B", TR.customer_traffic(r, P.AS_OF, "day", *P.LAYER_B), "day")]))
 
 # ---------------------------------------------------------------- trends
 for _pt in ("daily", "weekly", "monthly", "quarterly"):
@@ -94,6 +98,9 @@ for _pt in ("daily", "weekly", "monthly", "quarterly"):
 simple("advanced_sales_trends_category",
        lambda r: RT.advanced_sales_trends(r, P.AS_OF, "weekly", P.HISTORY_START, P.HISTORY_END,
                                           category_id=P.CATEGORY_ID))
+simple("advanced_sales_trends_product",
+       lambda r: RT.advanced_sales_trends(r, P.AS_OF, "monthly", P.HISTORY_START, P.HISTORY_END,
+                                          product_id=P.PRODUCT_ID))
 simple("sales_summary_metrics", lambda r: RT.sales_summary_metrics(r, P.AS_OF, P.SUMMARY_START, P.HISTORY_END))
 
 # ---------------------------------------------------------------- promotions
@@ -152,11 +159,18 @@ simple("popular_products_view",
 simple("popular_products_view_range",
        lambda r: CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "avg_price", "LARGE", P.TOP_LIMIT,
                                           P.RANGE_START, P.RANGE_END))
+simple("popular_products_view_range_growth",
+       lambda r: CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "growth_rate", "All Categories", P.TOP_LIMIT,
+                                          P.RANGE_START, P.RANGE_END))
 simple("category_distribution", lambda r: CT.category_distribution(
     CT.popular_products_view(r, P.AS_OF, P.FULL_DAYS, "growth_rate", "All Categories", P.TOP_LIMIT)))
 simple("buying_behavior", lambda r: CT.buying_behavior(r, "category_performance", P.AS_OF, P.FULL_DAYS,
                                                        P.RANGE_START, P.RANGE_END))
 
+simple("buying_behavior_pairs", lambda r: CT.buying_behavior(r, "frequently_bought_together", P.AS_OF, P.FULL_DAYS,
+                                                             P.RANGE_START, P.RANGE_END))
+simple("buying_behavior_items", lambda r: CT.buying_behavior(r, "avg_items_per_transaction", P.AS_OF, P.FULL_DAYS))
+
 # ---------------------------------------------------------------- inventory / restocking
 from storepulse.operators import inventory as IV  # noqa: E402
 
@@ -212,6 +226,7 @@ from pyspark.sql import functions as _F  # noqa: E402
 from storepulse.plans import reports as RP  # noqa: E402
 from storepulse.session import shared_dir  # noqa: E402
 from storepulse.sources import tables as TB  # noqa: E402
+from storepulse.sources.report import sheet_name, write_report_bundle  # noqa: E402
 
 PARAM_SQL = """
 SELECT CAST(transaction_date AS DATE) AS date, COUNT(*) AS transaction_count,
@@ -248,6 +263,26 @@ def _counts(spark, sf_dir):
 
 
 simple("schema_profile", TB.schema_profile)
+simple("schema_profile_incomplete",
+       lambda r: TB.schema_profile({k: v for k, v in r.items() if k != "promotion_products"}))
+
+
+@register("report_bundle")
+def _bundle(spark, sf_dir):
+    """S4 read back: two titles that share their first 31 characters, and an
+    empty section, which is not written."""
+    r, folder = _r(spark, sf_dir), shared_dir(spark, "report-bundle")
+    low = IV.low_stock_products(r)
+    written = write_report_bundle(spark, "Stock", {
+        "Inventory Movement by Category / all": IV.inventory_movement_trends(r, P.AS_OF, P.FULL_DAYS),
+        "Inventory Movement by Category / low stock": low,
+        "Nothing": low.limit(0),
+    }, folder, P.AS_OF)
+    names = [(m["section"], m["folder"]) for m in written.collect()]  # one row a section
+    return _reduce(lambda a, b: a.unionByName(b), [
+        spark.read.parquet(f"{folder}/{f}").agg(_F.count(_F.lit(1)).alias("row_count")).select(
+            _F.lit(s).alias("section"), _F.lit(sheet_name(s)).alias("sheet_name"), _F.lit(f).alias("folder"), "row_count")
+        for s, f in names])
 
 
 @register("manager_report")

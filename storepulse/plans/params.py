@@ -15,7 +15,6 @@ PROMO_AS_OF = "1997-06-01 00:00:00"    # promo 5 running, 1-4 past, 6-12 upcomin
 PROMO_DAYS = 1500
 PROMO_ID = 5
 TOP_LIMIT = 10
-BASKET_DAYS = 365                      # frequently-bought-together window
 COMPARISON = "vs_last_year"
 FORECAST_HORIZON = 14
 HISTORY_START = "1995-01-01 00:00:00"  # explicit whole-history range
@@ -24,6 +23,7 @@ SUMMARY_START = "1998-01-01 00:00:00"  # R8: previous period covers the rest
 LAYER_A = ("1996-01-01 00:00:00", "1996-12-31 23:59:59")
 LAYER_B = ("1997-01-01 00:00:00", "1997-12-31 23:59:59")
 CATEGORY_ID = 2
+PRODUCT_ID = 7
 PROMO_RANGE = ("1996-01-01 00:00:00", "2000-12-31 00:00:00")
 PROMO_PERIOD = ("1996-01-01 00:00:00", "1998-12-31 23:59:59")      # A23 promotional period
 NON_PROMO_PERIOD = ("1999-01-01 00:00:00", "2001-08-01 23:59:59")  # A23 comparison period

@@ -1,11 +1,10 @@
 """Role report jobs -- run the role's operators and write them as
 one bundle (S4).
 
-``persist_facts`` keeps the transaction / item projections cached across the
-sections (MEMORY_AND_DISK, so an evicted or lost block is re-read or
-recomputed from lineage, never fatal).  On very large inputs pass
-``persist_facts=False``: each section then scans with its own pushed-down
-date filter, which is cheaper than caching the whole fact table.
+Each section scans with its own pushed-down date filter.  Where the facts fit
+the executors' memory and disk, ``persist_facts=True`` keeps the transaction /
+item projections cached across the sections (MEMORY_AND_DISK, so an evicted
+or lost block is re-read or recomputed from lineage).
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ def _shared_facts(r: dict, enabled: bool):
 
 def manager_report(spark: SparkSession, r: dict, as_of, out_dir: str, days: int = 30, limit: int = 10,
                    period_type: str = "day", traffic_start=None, traffic_end=None,
-                   fmt: str = "parquet", persist_facts: bool = True) -> DataFrame:
+                   fmt: str = "parquet", persist_facts: bool = False) -> DataFrame:
     """Sales trend, top products, customer traffic, inventory usage,
     promotion effectiveness and product trends (without the three per-name
     total columns, de-duplicated)."""
@@ -55,7 +54,7 @@ def manager_report(spark: SparkSession, r: dict, as_of, out_dir: str, days: int
 
 def sales_report(spark: SparkSession, r: dict, as_of, out_dir: str, days: int = 30, limit: int = 10,
                  promo_period=None, non_promo_period=None, fmt: str = "parquet",
-                 persist_facts: bool = True) -> DataFrame:
+                 persist_facts: bool = False) -> DataFrame:
     """today's dashboard, promotional comparison, buying behaviour,
     popular products and seasonal (monthly) trends."""
     with _shared_facts(r, persist_facts) as rr:
@@ -69,7 +68,7 @@ def sales_report(spark: SparkSession, r: dict, as_of, out_dir: str, days: int =
 
 
 def inventory_report(spark: SparkSession, r: dict, as_of, out_dir: str, days: int = 30,
-                     fmt: str = "parquet", persist_facts: bool = True) -> DataFrame:
+                     fmt: str = "parquet", persist_facts: bool = False) -> DataFrame:
     """Low stock, predicted high demand, movement by category."""
     with _shared_facts(r, persist_facts) as rr:
         sections = {

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,15 +49,11 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location.
 
     ``spark.checkpoint.dir`` (or an already-set SparkContext checkpoint dir)
-    is honoured as given.  Only when neither is set -- local tests -- a
-    temporary folder is created and registered as the checkpoint dir.
+    is honoured as given.  There is no fallback: a folder of one machine
+    would lose the data of the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="storepulse-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     name = "-".join(parts) if parts else "work"
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -42,9 +42,9 @@ RETAIL_TABLES = (
     "inventory_movements",
 )
 
-# Fixed fixture values: 12 promotions starting 1995-06-01, one every 180 days,
-# each running 30 days.
-PROMO_COUNT = 12
+# Fixed fixture values: one promotion per group of parts (part key modulo 12),
+# the first starting 1995-06-01, one every 180 days, each running 30 days.
+PROMO_GROUPS = 12
 PROMO_FIRST_START = _dt.date(1995, 6, 1)
 PROMO_STEP_DAYS = 180
 PROMO_LENGTH_DAYS = 30
@@ -75,7 +75,7 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
         _cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_cents"),
         _cents(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("total_cents"),
         _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_cents"),
-        F.when(F.col("l_discount") >= F.lit(0.05), F.col("l_partkey") % 12 + 1).alias("promotion_id"),
+        F.when(F.col("l_discount") >= F.lit(0.05), F.col("l_partkey") % PROMO_GROUPS + 1).alias("promotion_id"),
     )
 
 
@@ -134,7 +134,8 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     i = F.col("id")
     start = F.date_add(F.lit(PROMO_FIRST_START), ((i - 1) * PROMO_STEP_DAYS).cast("int"))
-    promotions = spark.range(1, PROMO_COUNT + 1).select(
+    groups = part.select((F.col("p_partkey") % PROMO_GROUPS + 1).alias("id")).distinct()
+    promotions = groups.select(
         i,
         F.concat(F.lit("Promo "), i.cast("string")).alias("name"),
         F.when(i % 3 == 0, "discount").when(i % 3 == 1, "bogo").otherwise("loyalty").alias("promotion_type"),
@@ -146,7 +147,7 @@ def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
     promotion_products = part.filter(F.col("p_partkey") % 5 == 0).select(
-        (F.col("p_partkey") % 12 + 1).alias("promotion_id"), F.col("p_partkey").alias("product_id"))
+        (F.col("p_partkey") % PROMO_GROUPS + 1).alias("promotion_id"), F.col("p_partkey").alias("product_id"))
 
     movements = movements_from_lineitem(lineitem)
 
@@ -186,7 +187,7 @@ BUCKET_KEYS = {"sales_transactions": "id", "sales_transaction_items": "transacti
 
 
 def materialize_retail(tables: dict[str, DataFrame], out_dir: str, partitions: int | None = None,
-                       buckets: int | None = None) -> dict[str, DataFrame]:
+                       buckets: int | None = None, table_prefix: str | None = None) -> dict[str, DataFrame]:
     """Write the retail tables once in the layout the operators want at scale
     and return them read back.
 
@@ -195,28 +196,30 @@ def materialize_retail(tables: dict[str, DataFrame], out_dir: str, partitions: i
       pushed-down parquet filter that skips most of the data;
     * item rows carry their transaction's date (denormalised), so the big
       item scan is pruned by the same window before the join;
-    * with ``buckets=n`` transactions and items are instead written as
-      bucketed tables (n buckets on the transaction id, each sorted by date):
-      the item/transaction join then reads co-located buckets with no
-      shuffle, and row groups still carry tight date ranges;
+    * item rows without a transaction stay, with a null date;
+    * with ``buckets=n`` and a ``table_prefix`` transactions and items are
+      instead written as bucketed tables ``<table_prefix>_<name>`` (n buckets
+      on the transaction id, each sorted by date): the item/transaction join
+      then reads co-located buckets with no shuffle, and row groups still
+      carry tight date ranges; ``load_retail`` with the same prefix reads them;
     * each table is written with ``mode('overwrite')`` -- a failed run is
       simply re-run.
     """
-    any_df = next(iter(tables.values()))
-    spark = any_df.sparkSession
+    if buckets and not table_prefix:
+        raise ValueError("bucketed tables need a table_prefix")
+    spark = next(iter(tables.values())).sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tx = tables["sales_transactions"]
     dated_items = tables["sales_transaction_items"].join(
-        tx.select(F.col("id").alias("transaction_id"), "transaction_date"), "transaction_id")
+        tx.select(F.col("id").alias("transaction_id"), "transaction_date"), "transaction_id", "left")
     prepared = dict(tables)
     prepared["sales_transaction_items"] = dated_items
     out = {}
-    tag = abs(hash(out_dir)) % 10 ** 8
     for name, df in prepared.items():
         date_col = DATE_COLUMNS.get(name)
         path = f"{out_dir}/{name}"
         if buckets and name in BUCKET_KEYS:
-            table = f"storepulse_{name}_{tag}"
+            table = f"{table_prefix}_{name}"
             (df.write.mode("overwrite").option("path", path)
              .bucketBy(buckets, BUCKET_KEYS[name]).sortBy(date_col).saveAsTable(table))
             out[name] = spark.table(table)
@@ -228,6 +231,8 @@ def materialize_retail(tables: dict[str, DataFrame], out_dir: str, partitions: i
     return out
 
 
-def load_retail(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Read tables written by ``materialize_retail``."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in RETAIL_TABLES}
+def load_retail(spark: SparkSession, folder: str, table_prefix: str | None = None) -> dict[str, DataFrame]:
+    """Read tables written by ``materialize_retail``; with its
+    ``table_prefix`` the bucketed ones as tables, so their buckets are used."""
+    return {name: spark.table(f"{table_prefix}_{name}") if table_prefix and name in BUCKET_KEYS
+            else spark.read.parquet(f"{folder}/{name}") for name in RETAIL_TABLES}

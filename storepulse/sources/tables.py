@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REQUIRED_TABLES = ("products", "categories", "sales_transactions", "sales_transaction_items")
+REQUIRED_TABLES = ("promotions", "promotion_products", "sales_transaction_items", "sales_transactions")
+
+
+FACT_TABLES = ("sales_transactions", "sales_transaction_items", "inventory_movements")
 
 
 def load_tables(spark: SparkSession, source: str | dict, names=None,
@@ -29,6 +32,9 @@ def load_tables(spark: SparkSession, source: str | dict, names=None,
             opts = {k: v for k, v in source.items() if k != "partitions"}
             reader = spark.read.format("jdbc").options(**opts).option("dbtable", name)
             part = (source.get("partitions") or {}).get(name)
+            if part is None and name in FACT_TABLES:
+                raise ValueError(f"give partitions[{name!r}] = (column, lower, upper, n): "
+                                 "a fact table is not read through one connection")
             if part:
                 col, lo, hi, n = part
                 reader = (reader.option("partitionColumn", col).option("lowerBound", lo)
@@ -54,26 +60,23 @@ def run_sql(spark: SparkSession, sql: str, **args) -> DataFrame:
 def schema_profile(tables: dict[str, DataFrame], required=REQUIRED_TABLES) -> DataFrame:
     """S3 ``schema_profile``: one row per (table, column) in declared order
     with the column type, whether the table is one of the required set, and
-    the table's row count.
+    the table's row count; a required table that is absent yields one row
+    with ``is_missing`` and no column.
 
     Row counts are one global count per table (map-side partial counts, one
     row each) unioned together -- never a driver loop over data.
     """
     spark = next(iter(tables.values())).sparkSession
-    col_rows = []
-    for t, df in tables.items():
-        for pos, f in enumerate(df.schema.fields, start=1):
-            col_rows.append((t, pos, f.name, f.dataType.simpleString()))
-    cols = spark.createDataFrame(col_rows, "table_name string, ordinal_position int, column_name string, data_type string")
+    found = [(t, pos, f.name, f.dataType.simpleString(), t in required, False)
+             for t, df in tables.items() for pos, f in enumerate(df.schema.fields, start=1)]
+    absent = [(t, None, None, None, True, True) for t in missing_required(tables, required)]
+    cols = spark.createDataFrame(found + absent, "table_name string, ordinal_position int, column_name string, "
+                                                 "data_type string, is_required boolean, is_missing boolean")
     counts = reduce(DataFrame.unionByName,
                     [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
                      for t, df in tables.items()])
-    req = spark.createDataFrame([(r,) for r in required], "table_name string")
-    present = req.join(cols.select("table_name").distinct(), "table_name", "left_semi").withColumn("required", F.lit(True))
-    return (cols.join(F.broadcast(counts), "table_name")
-            .join(F.broadcast(present), "table_name", "left")
-            .select("table_name", "ordinal_position", "column_name", "data_type", "row_count",
-                    F.coalesce("required", F.lit(False)).alias("is_required")))
+    return (cols.join(F.broadcast(counts), "table_name", "left")  # one row a table
+            .select("table_name", "ordinal_position", "column_name", "data_type", "row_count", "is_required", "is_missing"))
 
 
 def missing_required(tables: dict[str, DataFrame], required=REQUIRED_TABLES) -> list[str]:

@@ -14,11 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from storepulse.session import build_session
     s = build_session(master="local[4]", shuffle_partitions=4,
-                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="storepulse-wh-")})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="storepulse-test-")
-        s.sparkContext.setCheckpointDir(d)
-        s.conf.set("spark.checkpoint.dir", d)
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="storepulse-wh-"),
+                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="storepulse-test-")})
     yield s
     s.stop()
 

@@ -10,8 +10,8 @@ from storepulse.session import shared_dir
 from storepulse.sources.retail import materialize_retail
 from tests.conftest import SF_SMALL
 
-KEYS = sorted(k for k in queries() if not k.startswith("stream_") and not k.endswith("_report")
-              and k not in ("load_tables", "schema_profile"))
+KEYS = sorted(k for k in catalog.QUERIES if not k.startswith(("stream_", "schema_profile")) and not k.endswith("_report")
+              and k != "load_tables")
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import queries
 from storepulse.operators import sales
+from storepulse.plans.catalog import QUERIES as CATALOG
 from storepulse.session import shared_dir
 from storepulse.sources.retail import materialize_retail
 from tests.conftest import SF_SMALL
@@ -15,12 +16,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in queries() if not k.startswith("stream_")
-                                       and not k.endswith("_report") and k != "promotion_comparison"))
+@pytest.mark.parametrize("key", sorted(k for k in CATALOG if not k.startswith("stream_") and not k.endswith("_report")))
 def test_no_python_udf_in_plan(spark, key):
     p = plan(queries()[key](spark, SF_SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
-    if "frequently_bought" not in key and "associations" not in key:
+    if not any(x in key for x in ("frequently_bought", "associations", "behavior_pairs")):
         assert "MapInPandas" not in p and "PythonMapInArrow" not in p
 
 
@@ -39,7 +39,7 @@ def test_canonical_layout_pushes_date_window(spark, retail):
 
 
 def test_bucketed_layout_joins_without_shuffle(spark, retail):
-    canon = materialize_retail(retail, shared_dir(spark, "bucketed"), buckets=4)
+    canon = materialize_retail(retail, shared_dir(spark, "bucketed"), buckets=4, table_prefix="plan_test")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
