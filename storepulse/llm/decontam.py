@@ -199,6 +199,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFram
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents without contaminated ones."""
-    found = written(judge(docs, benchmark, least).select("doc"), "leaks")
-    return docs.withColumn("doc_", F.xxhash64(F.col("doc_id").cast("string"), "text")).join(
-        found, F.col("doc_") == F.col("doc"), "left_anti").select(docs.columns)
+    found = written(judge(docs, benchmark, least).select(F.col("doc").alias("leak_")), "leaks")
+    return docs.withColumn("mark_", F.xxhash64(F.col("doc_id").cast("string"), "text")).join(
+        found, F.col("mark_") == F.col("leak_"), "left_anti").select(docs.columns)

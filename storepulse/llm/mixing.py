@@ -127,6 +127,6 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), total: float = 1.5, most: i
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it has copies."""
-    cols = docs.columns
-    out = mix(docs.withColumn("size", word_count(F.col("text"))), **options)
-    return out.where("copies > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(cols)
+    whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row_"))
+    out = mix(whole, **options).where("copies > 0")
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row_.*")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import decontam, minhash, mixing, pii, quality, repair, secrets, sepscan, toxicity, urlfilter
+from storepulse.llm import decontam, minhash, mixing, oracles, pii, quality, repair, secrets, sepscan, toxicity, urlfilter
 from storepulse.llm import spans as sp
-from storepulse.llm.common import read_table
+from storepulse.llm.common import read_table, written
 
 #: Rules and host terms of the URL filter (fixed values).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -48,8 +48,6 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from storepulse.llm.common import written
-
     docs = read_table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -102,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_minhash": oracles.MINHASH,
+    "op7_url_filter": oracles.url_filter(URL_RULES, LISTED_TERMS),
+}

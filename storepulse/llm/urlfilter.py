@@ -10,7 +10,8 @@ with the list itself, which removes false positives.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule
 and is listed nowhere: allow.  Of rules of equal length the first one counts.
-Repeated rows are each answered; extra columns are ignored.
+Repeated rows are each answered; extra columns pass through, clashing ones
+are replaced.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ Rule = tuple[str, str, str]  # verdict, host, path
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(lower_ascii(F.regexp_extract(url, r"^(?s).*?://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(lower_ascii(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without port and www./m., path without index page, extension and
     closing slash; scheme, query and fragment do not count.  Null for no host."""
-    bare = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^(www|m)\.(?=[^.]+\.)", "")
+    bare = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"^(?:www|m)\.([^.]+\.)", "$1")
     page = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.(html?|php)$", ""), r"/+$", "")
     return F.when(host != "", F.concat(bare, page))
 
@@ -75,6 +76,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "ur
     """pages with host, path, canonical, rule, listed and verdict.  ``listed``
     has distinct or repeated values in its column canonical."""
     listed = listed.select("canonical").where("canonical IS NOT NULL").distinct()
+    pages = pages.drop("host", "path", "canonical", "rule", "listed", "verdict")
     parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     parts = parts.withColumn("canonical", canonical(F.col("host"), F.col("path")))
     words = bloom(listed)
