@@ -1,23 +1,24 @@
 """Structured Streaming forms of the live-dashboard operators (ST1-ST5).
 
-The reference re-polls "today" every 60 s; here the same figures are kept
-by streaming aggregations over event-time windows with a watermark, so late
-rows inside the watermark still update their window.  Batch operators A1-A6
-stay the semantics to check against: on a closed input these streams give
-the batch answer (complete output mode keeps every window).
+A dashboard that would poll "today" again and again is kept by streaming
+aggregations over event-time windows: late rows inside the watermark still
+update their window, older windows leave the state.  Batch operators A1-A6
+stay the semantics to check against: on a closed input these streams give the
+batch answer.
 
 Sources are file streams over a folder (``pathGlobFilter`` picks the table
-file); sinks are ``foreachBatch`` writers that overwrite one parquet folder
-under the shared checkpoint location with the complete result, which makes a
-replayed micro-batch idempotent.  ``run_stream`` drives a query to the end
-of the available input (``availableNow``) and returns the written result as
-a batch DataFrame.
+file).  In update mode every micro-batch writes the windows that changed to a
+folder of its own epoch; a replayed epoch rewrites that folder.  A window's
+current row is the one of its last epoch, found by a grouped maximum over the
+stored changes, so nothing is kept on the driver and a stopped stream goes on
+from its folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from storepulse.functions.columns import round_half_up
 from storepulse.session import shared_dir
@@ -38,50 +39,42 @@ def stream_table(spark: SparkSession, folder: str, table: str, max_files_per_tri
     return reader.parquet(folder)
 
 
-def run_stream(stream: DataFrame, name: str, output_mode: str = "complete",
-               keys: list[str] | None = None) -> DataFrame:
+def run_stream(stream: DataFrame, name: str, output_mode: str = "update",
+               keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Run a streaming aggregation until the available input is consumed and
-    return its result.
-
-    ``complete`` (closed-input checks): each micro-batch carries the whole
-    result and overwrites one parquet folder via ``foreachBatch``, so a
-    retried batch rewrites the same output.  ``append`` (long-running use):
-    windows are emitted once the watermark passes them and their state is
-    dropped, written by the exactly-once parquet file sink.  ``update``
-    (live dashboard): each micro-batch carries only the windows that
-    changed; they replace their previous version by ``keys`` (default: the
-    window).  Every epoch writes a new folder (the previous result merged
-    with the batch), so a retried epoch rewrites its own folder and no
-    folder is read and overwritten at once.
+    return its result so far.
+
+    ``folder`` holds the stream's checkpoint and result and is given by the
+    caller of a long-running stream: a later call with the same folder reads
+    only new input and adds to the same result.  Without one (closed input) a
+    new folder under the shared checkpoint location is taken.
+
+    ``update``: each micro-batch carries only the windows that changed (by
+    ``keys``, default: the window).  ``append``: windows are emitted once the
+    watermark passes them, by the exactly-once parquet file sink.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, "stream", name)
+    base = folder or shared_dir(spark, "stream", name)
     out = f"{base}/result"
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{base}/checkpoint")
     if output_mode == "append":
-        writer = writer.format("parquet").option("path", out)
-    elif output_mode == "update":
-        keys = keys or ["window"]
-        latest = {"path": None}
-
-        def upsert(batch: DataFrame, epoch_id: int) -> None:
-            path = f"{out}/epoch={epoch_id}"
-            merged = batch
-            if latest["path"]:
-                previous = batch.sparkSession.read.parquet(latest["path"])
-                merged = previous.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-            merged.write.mode("overwrite").parquet(path)
-            latest["path"] = path
-
-        writer = writer.foreachBatch(upsert)
-        writer.trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(latest["path"]) if latest["path"] else spark.createDataFrame([], stream.schema)
-    else:
-        def write(batch: DataFrame, epoch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        writer = writer.foreachBatch(write)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+        writer.format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    if output_mode != "update":
+        raise ValueError("a stream runs in update or append mode")
+
+    def changes(batch: DataFrame, epoch_id: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch-{epoch_id}")
+
+    writer.foreachBatch(changes).trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
+    return latest(spark.read.schema(schema).parquet(f"{out}/batch-*"), keys or ["window"])
+
+
+def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each key."""
+    values = [c for c in changes.columns if c not in keys and c != "epoch"]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
 
 
 def _purchases(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -97,40 +90,41 @@ def _bounds(window_col: str = "window"):
 
 
 # ---------------------------------------------------------------- ST1 / ST2 / ST4 (events)
-def stream_hourly_sales(spark: SparkSession, folder: str, output_mode: str = "complete") -> DataFrame:
+def stream_hourly_sales(spark: SparkSession, folder: str, output_mode: str = "update",
+                        state: str | None = None) -> DataFrame:
     """ST1 (A2): purchase revenue and count per 1-hour event-time window."""
     agg = (_purchases(spark, folder).groupBy(F.window("ts", "1 hour"))
            .agg(F.sum("value").alias("rev"), F.count(F.lit(1)).alias("items_sold")))
-    res = run_stream(agg, "hourly-sales", output_mode)
+    res = run_stream(agg, "hourly-sales", output_mode, folder=state)
     return res.select(*_bounds(), F.hour(F.col("window.start").cast("timestamp_ntz")).cast("bigint").alias("hour"),
                       round_half_up(F.col("rev"), 6).alias("hourly_revenue"), "items_sold")
 
 
-def stream_daily_dashboard(spark: SparkSession, folder: str, output_mode: str = "complete",
-                           max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_daily_dashboard(spark: SparkSession, folder: str, output_mode: str = "update",
+                           max_files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
     """ST2 (A1): per day -- purchases, revenue and average ticket."""
     agg = (_purchases(spark, folder, max_files_per_trigger).groupBy(F.window("ts", "1 day"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("rev")))
-    res = run_stream(agg, "daily-dashboard", output_mode)
+    res = run_stream(agg, "daily-dashboard", output_mode, folder=state)
     return res.select(F.to_date(F.col("window.start").cast("timestamp_ntz")).alias("day"),
                       F.col("n").alias("todays_transactions"),
                       round_half_up(F.col("rev"), 6).alias("todays_revenue"),
                       round_half_up(F.col("rev") / F.col("n").cast("double"), 6).alias("avg_transaction_value"))
 
 
-def stream_traffic(spark: SparkSession, folder: str, bucket: str = "1 hour") -> DataFrame:
+def stream_traffic(spark: SparkSession, folder: str, bucket: str = "1 hour", state: str | None = None) -> DataFrame:
     """ST4 (M16 hour/day buckets): distinct purchase transactions per
     window; exact distinct counting is replaced by de-duplicating the event
     ids inside the watermark, then counting."""
     dedup = _purchases(spark, folder).dropDuplicatesWithinWatermark(["event_id"])
     agg = (dedup.groupBy(F.window("ts", bucket))
            .agg(F.count(F.lit(1)).alias("transaction_count"), F.sum("value").alias("rev")))
-    res = run_stream(agg, "traffic")
+    res = run_stream(agg, "traffic", folder=state)
     return res.select(*_bounds(), "transaction_count", round_half_up(F.col("rev"), 6).alias("total_revenue"))
 
 
 # ---------------------------------------------------------------- ST3 / ST5 (retail facts)
-def stream_top_products(spark: SparkSession, folder: str, limit: int = 5) -> DataFrame:
+def stream_top_products(spark: SparkSession, folder: str, limit: int = 5, state: str | None = None) -> DataFrame:
     """ST3 (A5): per day, quantity and revenue per product from the item
     stream (stream-static join to transactions for the event time); the
     day's top ``limit`` products by quantity are ranked on the streamed
@@ -143,7 +137,7 @@ def stream_top_products(spark: SparkSession, folder: str, limit: int = 5) -> Dat
              .withWatermark("ts", FACT_WATERMARK))
     agg = (dated.groupBy(F.window("ts", "1 day"), "product_id")
            .agg(F.sum("quantity").alias("quantity_sold"), F.sum("total_cents").alias("cents")))
-    res = run_stream(agg, "top-products")
+    res = run_stream(agg, "top-products", keys=["window", "product_id"], folder=state)
     names = r["products"].select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
     day = F.to_date(F.col("window.start").cast("timestamp_ntz"))
     rk = F.row_number().over(Window.partitionBy("day").orderBy(F.col("quantity_sold").desc(), F.col("product_id")))
@@ -153,7 +147,7 @@ def stream_top_products(spark: SparkSession, folder: str, limit: int = 5) -> Dat
                     (F.col("cents").cast("double") / 100.0).alias("revenue")))
 
 
-def stream_movement_totals(spark: SparkSession, folder: str) -> DataFrame:
+def stream_movement_totals(spark: SparkSession, folder: str, state: str | None = None) -> DataFrame:
     """ST5 (R6): inbound / outbound quantity per category and day from the
     movement stream joined to the static product -> category mapping."""
     r = retail_tables(spark, folder)
@@ -168,7 +162,7 @@ def stream_movement_totals(spark: SparkSession, folder: str) -> DataFrame:
            .groupBy(F.window("ts", "1 day"), "category")
            .agg(F.sum(F.when(out, F.col("quantity")).otherwise(0)).alias("total_outbound"),
                 F.sum(F.when(inn, F.col("quantity")).otherwise(0)).alias("total_inbound")))
-    res = run_stream(agg, "movement-totals")
+    res = run_stream(agg, "movement-totals", keys=["window", "category"], folder=state)
     return res.select(F.to_date(F.col("window.start").cast("timestamp_ntz")).alias("day"), "category",
                       F.col("total_outbound").cast("bigint").alias("total_outbound"),
                       F.col("total_inbound").cast("bigint").alias("total_inbound"))
