@@ -64,16 +64,17 @@ def seasonal_trends(r: Tables, as_of, days: int = 365, start=None, end=None) ->
     day (2 places), growth against the previous present season in Winter ..
     Fall order (2 places, 0 for the first) and the top category.
 
-    One aggregation to (season, category, day) feeds both the season stats
-    and the category ranking; everything after it is tiny.
+    One aggregation to (product, day), then to (season, category, day) feeds
+    both the season stats and the category ranking; what follows is tiny.
     """
     w = between_ts("transaction_date", start, end) if start and end else since("transaction_date", as_of, days)
     lines = sold_lines(r, w).select("product_id", "transaction_date", "tx_cents")
     cats = product_dim(r).select("product_id", "category")
-    base = reuse(lines.join(cats, "product_id")
-            .groupBy(_season(F.month("transaction_date")).alias("season"), "category",
-                     F.to_date("transaction_date").alias("day"))
-            .agg(F.sum("tx_cents").alias("cents")))
+    # item rows are reduced to (product, day) before a dimension is joined
+    daily = lines.groupBy("product_id", F.to_date("transaction_date").alias("day")).agg(F.sum("tx_cents").alias("cents"))
+    base = reuse(daily.join(cats, "product_id")
+                 .groupBy(_season(F.month("day")).alias("season"), "category", "day")
+                 .agg(F.sum("cents").alias("cents")))
     stats = base.groupBy("season").agg(F.sum("cents").alias("cents"), F.countDistinct("day").alias("days"))
     by_cat = base.groupBy("season", "category").agg(F.sum("cents").alias("cat_cents"))
     top = (by_cat.withColumn("rk", F.row_number().over(
