@@ -70,7 +70,9 @@ def template(c: tb.Chunk, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         member = member.copy()
         member[1:-1] |= inner
     starts, ends = tb.spans(member, offs)
-    value = tb.span_hashes(buf, starts, ends, tb.BYTE_VALUE_FOLDED)
+    accented = np.zeros(n, bool)  # second bytes of À..Þ, folded like A-Z
+    accented[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    value = tb.span_hashes(buf + np.uint8(0x20) * accented, starts, ends, tb.BYTE_VALUE_FOLDED)
     doc = np.searchsorted(offs, starts, "right") - 1
     if not len(starts):
         return doc, value, value
@@ -78,10 +80,11 @@ def template(c: tb.Chunk, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
     opens = np.ones(len(starts), bool)  # first of a sentence, line or document
     opens[1:] = (doc[1:] != doc[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    lead = buf[starts]
-    after = buf[np.minimum(starts + 1, n - 1)]
-    capital = ((lead >= 65) & (lead <= 90) & (ends - starts > 1) & ((after < 65) | (after > 90))) | ((lead == 0xC3) & (after >= 0x80) & (after <= 0x9E))
-    name = capital & ~opens  # a term in capitals only is no name
+    upper = np.append((buf >= 65) & (buf <= 90), [False, False])
+    upper[:n - 1] |= accented[1:]
+    second = starts + 1 + (buf[starts] == 0xC3)
+    capital = upper[starts] & (ends > second) & ~upper[second]  # a term in capitals only is no name
+    name = capital & ~opens
     unit = np.zeros(len(starts), bool)
     follows = np.flatnonzero(number[:-1] & (doc[:-1] == doc[1:])) + 1
     if len(follows):
