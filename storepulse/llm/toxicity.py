@@ -19,6 +19,7 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -60,10 +61,10 @@ def _bags(sample: DataFrame) -> DataFrame:
             for c in tb.chunks(batch.column(0)):
                 doc, bucket = term_buckets(c)
                 cut = np.searchsorted(doc, np.arange(len(c.offs)))
-                bags += [np.unique(bucket[cut[i]:cut[i + 1]]) for i in range(len(c.offs) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int64())), batch.column(1)], ["terms", "toxic"])
+                bags += [np.unique(bucket[cut[i]:cut[i + 1]]).astype(np.int32) for i in range(len(c.offs) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int32())), batch.column(1)], ["terms", "toxic"])
 
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "terms array<bigint>, toxic int")
+    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "terms array<int>, toxic int")
 
 
 def fit(bags: list[np.ndarray], toxic: np.ndarray, factors: int = 8, most: int = 8192, fewest: int = 3,
@@ -72,8 +73,8 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, factors: int = 8, most: int =
     y = toxic.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = np.concatenate(bags) if len(doc) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    flat = np.concatenate(bags) if len(doc) else np.zeros(0, np.int32)
     seen = np.bincount(flat, minlength=1 << BITS)
     yes = np.bincount(flat, weights=y[doc], minlength=1 << BITS)
     pos, neg = y.sum(), len(y) - y.sum()
@@ -81,9 +82,11 @@ def fit(bags: list[np.ndarray], toxic: np.ndarray, factors: int = 8, most: int =
     z = np.abs(p - q) / np.sqrt(p * (1 - p) / pos + q * (1 - q) / neg)
     chosen = np.flatnonzero((seen >= fewest) & (z >= 2.5))
     chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:most]])
-    at = np.searchsorted(chosen, flat)
-    known = np.flatnonzero(chosen[np.minimum(at, len(chosen) - 1)] == flat) if len(chosen) else np.zeros(0, np.int64)
-    doc, term = doc[known], at[known]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    term = place[flat]
+    doc, term = doc[term >= 0], term[term >= 0]
+    del flat, place
 
     rng = np.random.default_rng(11)
     params = [np.zeros(1), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), factors))]
@@ -115,9 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 8000, negatives:
     sample = take(1, positives).union(take(0, negatives))
     sample = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     table = _bags(sample).toArrow().combine_chunks()
-    bags = [np.asarray(b, np.int64) for b in table.column("terms").to_pylist()]
+    terms = table.column("terms").combine_chunks()
+    offsets, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
+    bags = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     toxic = table.column("toxic").to_numpy()
-    order = sorted(range(len(bags)), key=lambda i: (toxic[i], len(bags[i]), bags[i].tobytes()))
+    order = sorted(range(len(bags)), key=lambda i: (toxic[i], len(bags[i]), zlib.crc32(bags[i])))
     return fit([bags[i] for i in order], toxic[order])
 
 
