@@ -30,7 +30,7 @@ from storepulse.llm import tokens
 from storepulse.llm.common import written
 
 BLOCK = 1 << 20  # tokens after which a block is closed
-ROUNDS = 5
+ROUNDS = 4
 RULES = 3000  # new rules a round at most
 FEWEST = 12  # occurrences that make a pair frequent
 _SLOTS = 17

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = 2  # id appended to each document
-REMEMBERED = 600_000  # words, and letter runs, kept per worker; then it starts afresh
+WORDS = 1_000_000  # words kept per worker; then it starts afresh
+RUNS = 1_000_000  # letter runs kept per worker
 MOST_SHARDS = 10_000
 
 
@@ -43,18 +44,29 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not remembered.  Letter runs are
+        remembered at first sight, words once their run has been seen before,
+        so words that occur once do not crowd out the others."""
         parts: dict[bytes, tuple[str, ...]] = {}
         new, odd = set(), set()
-        if len(self.runs) > REMEMBERED:
+        if len(self.runs) > RUNS:
             self.runs.clear()
-        runs = self.runs
+        if len(self.words) > WORDS:
+            self.words.clear()
+        runs, again = self.runs, []
         for w in words:
             s = w.decode()
             letters = s.rstrip(".,")
-            if letters.isalpha() and max(letters) < "\u0100":
-                parts[w] = p = (letters.lower(), s[len(letters):]) if len(letters) < len(s) else (letters.lower(),)
-                new.update(p)
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
+                low = letters.lower()
+                parts[w] = (low, s[len(letters):]) if len(letters) < len(s) else (low,)
+                if low in runs:
+                    again.append(w)
+                else:
+                    new.add(low)
+                if len(letters) < len(s):
+                    new.add(s[len(letters):])
             else:
                 parts[w] = (s,)
                 odd.add(s)
@@ -64,17 +76,15 @@ class Encoder:
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(ordered):
                 raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                for k, p in enumerate(ordered):
-                    runs[p] = raw[at[k]:at[k + 1]]
+                runs.update(zip(ordered, [raw[i:j] for i, j in zip(at, at[1:])], strict=True))
             else:  # a vocabulary without such ids
                 odd.update(ordered)
         odd = [p for p in odd if p not in runs]
         for p, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
             runs[p] = np.array(e.ids, "<u4").tobytes()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        for w, ps in parts.items():
-            self.words[w] = b"".join([self.runs[p] for p in ps])
+        found = {w: b"".join([runs[p] for p in ps]) for w, ps in parts.items()}
+        self.words.update((w, found[w]) for w in again)
+        return found
 
     def each(self, texts: pa.Array, group: int = 256) -> Iterator[bytes]:
         """The ids of every text, in order; a null text has none."""
@@ -83,12 +93,10 @@ class Encoder:
             split = [(t or b"").split() for t in raw[i:i + group].to_pylist()]
             found = [list(map(self.words.get, ws)) for ws in split]
             new = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
-            if new:
-                self._learn(new)
+            learned = self._learn(new) if new else {}
             for ws, ids in zip(split, found, strict=True):
                 if None in ids:
-                    known = self.words
-                    ids = [known[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+                    ids = [learned[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
                 yield b"".join(ids)
 
 
