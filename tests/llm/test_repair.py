@@ -30,7 +30,8 @@ def test_ids_equal_the_library(spark):
 
 
 def test_forgetting_keeps_ids_right(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "WORDS", 5)
+    monkeypatch.setattr(tokens, "RUNS", 7)
     texts = ["one two three four five six seven", "one eight nine ten", "two one eleven, twelve."] * 3
     want = [np.array(e.ids, "<u4").tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
     assert list(tokens.Encoder(tokens.default_vocabulary()).each(pa.array(texts), group=1)) == want
