@@ -9,11 +9,15 @@ Bands of ``rows`` values are the bucket keys.
 Exact copies (equal shingle sets) are collapsed first.  Inside a bucket a star
 bounds the candidate pairs: only the member with the most company in all its
 buckets (the hub) is paired with the others, and every candidate is confirmed
-on the full shingle sets.  What stands apart in a bucket afterwards (it holds
-more than one component) is paired again from further centres: one of each
-component, then a hash-selected share of the members, then all that are left.
-So no two members of a bucket that are similar enough stay unlinked, while
-pairs inside a component are never made.
+on the full shingle sets.  A star alone may lose a link between two members of
+which one is too far from the hub.  So each comparison with a hub h that has
+several partners also keeps what x lacks of h (M) and has beyond h (R), and
+the members outside the hub's component are compared with the others by
+
+    |x & y| = |h| - |M_x| - |M_y| + |M_x & M_y| + |R_x & R_y|,
+
+exactly, from these short differences alone and in blocks that hold a bounded
+number of x.  Only confirmed links leave a block; no pairs are emitted.
 
 Null or empty texts have an empty set and are linked with nothing; of rows that
 repeat a doc_id each is judged by its own text; a null doc_id is never linked
@@ -33,6 +37,9 @@ from storepulse.llm import textbytes as tb
 from storepulse.llm.common import written
 
 SHARE = 128  # members of a star that are confirmed in one group
+OUTSIDE = 512  # members outside a hub's component that a block holds
+OTHERS = 2048  # members that are compared with a block in one group
+FILTER = 1 << 18  # 64-bit words of the id filter: 2 MB, whatever the number of ids
 
 
 def shingle_sets(texts: pa.Array, size: int):
@@ -103,39 +110,142 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, least: int) ->
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  A centre's set is
-    held once for each group of at most about SHARE partners."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    dealt = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
-    heads = dealt.select("a", "share").distinct().select("a", "share", F.col("a").alias("b"))
+    """a, b, linked, n = |A| of every pair, compared on the full sets, and
+    where a has several partners lacks = A - B and extra = B - A.  A centre's
+    set is held once for each group of about SHARE partners."""
+    load = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+    dealt = pairs.join(load, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / SHARE).cast("int")).alias("share"), "b", (F.col("partners") > 1).alias("several"))
+    heads = dealt.select("a", "share").distinct().select("a", "share", F.col("a").alias("b"), F.lit(False).alias("several"))
     rows = (dealt.union(heads).join(texts, F.col("b") == F.col("doc_id"))
-            .select("a", "share", (F.col("a") != F.col("b")).alias("partner"), "b", "text")
+            .select("a", "share", (F.col("a") != F.col("b")).alias("partner"), "b", "several", "text")
             .repartition("a", "share").sortWithinPartitions("a", "share", "partner"))
 
     def run(batches):
         current, heads = None, []
         for batch in batches:
-            a, share, partner, b = (batch.column(i).to_pylist() for i in range(4))
-            out_a, out_b = [], []
-            for i, s in shingle_sets(batch.column(4), shingle):
+            a, share, partner, b, several = (batch.column(i).to_pylist() for i in range(5))
+            out = []
+            for i, s in shingle_sets(batch.column(5), shingle):
                 if (a[i], share[i]) != current:
                     current, heads = (a[i], share[i]), []
                 if not partner[i]:
                     heads.append(s)
                     continue
                 for h in heads:
-                    small, large = (s, h) if len(s) < len(h) else (h, s)
-                    if 100 * len(small) < percent * len(large) or not len(small):
+                    there = h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s
+                    both = int(there.sum())
+                    linked = 100 * both >= percent * (len(s) + len(h) - both)
+                    lacks = extra = None
+                    if several[i]:
+                        lacks = np.setdiff1d(h, s, assume_unique=True).view(np.int64)
+                        extra = s[~there].view(np.int64)
+                    out.append((a[i], b[i], linked, len(h), lacks, extra))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "linked", "n", "lacks", "extra"])
+
+    return rows.mapInArrow(run, "a long, b long, linked boolean, n long, lacks array<bigint>, extra array<bigint>")
+
+
+class Block:
+    """Members outside a hub's component, indexed by what they lack and have."""
+
+    def __init__(self):
+        self.ids, self.components, self.sizes, self.parts = [], [], [], ([], [])
+        self.ready = False
+
+    def add(self, id_, component, size, lacks, extra):
+        for part, grams in zip(self.parts, (lacks, extra), strict=True):
+            part.append(grams)
+        self.ids.append(id_)
+        self.components.append(component)
+        self.sizes.append(size)
+
+    def close(self):
+        self.index = []
+        for part in self.parts:
+            grams = np.concatenate(part)
+            owner = np.repeat(np.arange(len(part)), [len(p) for p in part])
+            order = np.argsort(grams, kind="stable")
+            self.index.append((grams[order], owner[order]))
+        self.ids, self.components, self.sizes = (np.array(v, np.int64) for v in (self.ids, self.components, self.sizes))
+        self.lacking = np.array([len(p) for p in self.parts[0]], np.int64)
+        self.ready = True
+
+    def shared(self, which: int, grams: np.ndarray) -> np.ndarray:
+        """With each member, how many of the grams it shares."""
+        keys, owner = self.index[which]
+        first, last = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+        n = last - first
+        if not n.any():
+            return np.zeros(len(self.ids), np.int64)
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(self.ids))
+
+    def linked(self, hub: int, component: int, lacks: np.ndarray, extra: np.ndarray, percent: int) -> np.ndarray:
+        size = hub - len(lacks) + len(extra)
+        both = hub - self.lacking - len(lacks) + self.shared(0, lacks) + self.shared(1, extra)
+        return self.ids[(100 * both >= percent * (self.sizes + size - both)) & (self.components != component)]
+
+
+def stragglers(compared: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a star, one of them outside the hub's
+    component, the other in any other component."""
+    of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    known = compared.where("lacks IS NOT NULL").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", "n", "lacks", "extra", F.coalesce("a_component", "a").alias("own"), F.coalesce("b_component", "b").alias("component"))
+    known = written(known, "known")
+    counts = known.groupBy("a").agg(F.ceil(F.count_if(F.col("component") != F.col("own")) / OUTSIDE).cast("int").alias("blocks"),
+                                    F.ceil(F.count("*") / OTHERS).cast("int").alias("parts")).where("blocks > 0")
+    rows = known.join(counts, "a")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    cols = ["n", "b", "component", "lacks", "extra"]
+    outside = rows.where("component <> own").select("a", mine("blocks").alias("block"), upto("parts").alias("part"), F.lit(0).alias("other"), *cols)
+    others = rows.select("a", upto("blocks").alias("block"), mine("parts").alias("part"), F.lit(1).alias("other"), *cols)
+    dealt = outside.union(others).repartition("a", "block", "part").sortWithinPartitions("a", "block", "part", "other")
+
+    def run(batches):
+        current, block = None, Block()
+        for batch in batches:
+            a, blocks, parts, other, n, b, component = (batch.column(i).to_pylist() for i in range(7))
+            grams = []
+            for i in (7, 8):
+                column = batch.column(i)
+                grams.append((column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)))
+            out_a, out_b = [], []
+            for i in range(len(a)):
+                if (a[i], blocks[i], parts[i]) != current:
+                    current, block = (a[i], blocks[i], parts[i]), Block()
+                lacks, extra = (values[offsets[i]:offsets[i + 1]] for offsets, values in grams)
+                if not other[i]:
+                    block.add(b[i], component[i], n[i] - len(lacks) + len(extra), lacks, extra)
+                    continue
+                if not block.ready:
+                    if not block.ids:
                         continue
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(s) + len(h) - both):
-                        out_a.append(a[i])
-                        out_b.append(b[i])
-                        break
+                    block.close()
+                for x in block.linked(n[i], component[i], lacks, extra, percent).tolist():
+                    out_a.append(min(x, b[i]))
+                    out_b.append(max(x, b[i]))
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (id).  A bit map of the
+    hashed ids, of fixed size, is broadcast first, so that only about these
+    texts are shuffled for the exact semi-join, not the whole corpus."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER))
+    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
+    words = ids.select(bit("id").alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(mask(F.col("bit"))).alias("mask"))
+    dense = docs.sparkSession.range(FILTER).join(words, F.col("id") == F.col("word"), "left").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("m")))), lambda w: w["m"]).alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").crossJoin(F.broadcast(dense))  # one row
+    here = F.element_at("words", (bit("doc_id") / 64).cast("int") + 1).bitwiseAND(mask(bit("doc_id"))) != 0
+    return rows.where(here).select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -146,7 +256,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
@@ -167,56 +277,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     least = -(-percent // max(1, 100 - percent))  # smaller sets can only equal each other
     sk = written(sketch(docs, shingle, bands, rows, least), "sketch")
     classes = written(sk.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    member = classes.select(F.explode("keys").alias("key"), "id", "n")
+        F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
+    member = classes.select(F.explode("keys").alias("key"), "id")
     crowd = member.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     member = written(member.join(crowd, "key"), "buckets")
     company = member.groupBy("id").agg(F.sum("crowd").alias("company"))
-    member = written(member.join(company, "id").select("key", "id", "n", "company"), "buckets")
-    texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(
-        member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    centre = F.max(F.struct("company", (-F.col("id")).alias("minus"), "n")).alias("c")
-    close = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-    pair = (F.col("id") != -F.col("c.minus")) & close
-
-    def star(members, centres, where):
-        return members.join(centres, "key").where(where).select(
-            (-F.col("c.minus")).alias("a"), F.col("id").alias("b"))
-
-    hubs = written(member.groupBy("key").agg(centre), "hubs")
-    done = hubs.select("key", (-F.col("c.minus")).alias("id"))
-    links = tried = None
-    for step in ("hub", "component", "share", "rest"):
-        if step == "hub":
-            pairs = star(member, hubs, pair).distinct()
-        else:
-            label = components(links)
-            now = member.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            groups = now.groupBy("key", "component").agg(F.count("*").alias("size"))
-            top = groups.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-            now = written(now.join(top, "key").select("key", "id", "n", "company", "component", F.col("top.component").alias("top")), "apart")
-            free = now.where("component != top").join(done, ["key", "id"], "left_anti")
-            if step == "component":
-                centres = free.groupBy("key", F.col("component").alias("own")).agg(centre)
-            else:
-                if step == "share":
-                    free = free.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0)
-                centres = free.select("key", F.col("component").alias("own"), F.struct("company", (-F.col("id")).alias("minus"), "n").alias("c"))
-            centres = written(centres, "centres")
-            pairs = star(now, centres, pair & (F.col("component") != F.col("own")))
-            pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti").join(
-                tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-            # both ends may be centres: one order is enough
-            pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(
-                F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
-            done = done.union(centres.select("key", (-F.col("c.minus")).alias("id")))
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        if step != "hub" and pairs.isEmpty():
-            continue
-        found = written(confirm(pairs, texts, shingle, percent), "links")
-        links = found if links is None else links.union(found)
+    member = written(member.join(company, "id").select("key", "id", "company"), "buckets")
+    texts = written(texts_of(docs, written(member.select("id").distinct(), "ids")), "texts")
+
+    hubs = member.groupBy("key").agg((-F.max(F.struct("company", (-F.col("id")).alias("minus")))["minus"]).alias("hub"))
+    pairs = written(member.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    compared = written(confirm(pairs, texts, shingle, percent), "compared")
+    links = compared.where("linked").select("a", "b")
+    links = links.union(written(stragglers(compared, components(links), percent), "links"))
     label = written(components(links), "components")
     of_class = classes.select("fp", "id").join(label, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     linked = (sk.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "fp").join(of_class, "fp")
