@@ -2,14 +2,19 @@
 
 Texts become template tokens: numbers, names (capitalised inside a sentence)
 and units (after a number) turn into typed placeholders, the other terms are
-lower-cased.  Every window of ``WINDOW`` template tokens is hashed.  A bit map
+lower-cased.  A run of names is one placeholder, and so are numbers with only
+white space between them, so a name of another word count still lines up.
+Every window of ``WINDOW`` template tokens is hashed.  A bit map
 of the benchmark's window hashes (fixed size) lets the scan of the corpus emit
 only windows that may match; an exact hash join with the benchmark's windows
-then removes the others.  Joined windows are lined up per document, item and
-offset.  Along an alignment the slots are compared: the same original value
-must stand for the same new value in every window, else the windows that
-disagree do not count.  A document is contaminated where the windows left on
-one alignment cover at least ``least`` of an item's tokens.
+then removes the others.  Joined windows are added up per document, item and
+stretch of the document, whatever their offsets, so inserted or dropped tokens
+cost only the windows they cut.  Stretches are ``2 * STRETCH`` item lengths long
+and overlap by half: every passage of up to ``STRETCH`` item lengths lies in one.
+In a stretch the slots are compared: the same original value must stand for the
+same new value in every window, else the places that disagree do not count.  A
+document is contaminated where the places left in one stretch are at least
+``least`` of an item's tokens; a token of the document stands for one place only.
 
 Because placeholders match any number, name or unit, re-parameterised copies
 of a question are caught like verbatim ones; ``slots_changed`` tells them
@@ -23,6 +28,8 @@ an empty benchmark matches nothing; extra columns pass through.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +40,7 @@ from storepulse.llm.common import written
 
 WINDOW = 5
 SHORTEST = 3
+STRETCH = 2  # item lengths that a passage may take in a document, inserted tokens included
 LITERALS = 3  # tokens of a window that are no placeholders, at least (or all but one of a shorter one)
 MAP_BITS = 23  # the bit map takes 2**MAP_BITS bits, whatever the benchmark's size
 
@@ -56,9 +64,26 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(tb.span_hashes(raw, starts, ends, tb.BYTE_VALUE_FOLDED))
 
 
-def template(c: tb.Chunk, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, template hash, value hash) of each token of a chunk; a
-    literal's value is its own hash."""
+class Tokens(NamedTuple):
+    doc: np.ndarray  # document of each token
+    value: np.ndarray  # hash of each token
+    head: np.ndarray  # first token of each unit (a literal, a unit or a run that is one placeholder)
+    kind: np.ndarray  # template hash of each unit
+    slot: np.ndarray  # hash of each unit's tokens; a literal's is its template hash
+
+
+def _runs(head: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Hash of the tokens of each unit, the token's own if it is alone."""
+    size = np.diff(np.append(head, len(value)))
+    rank = np.arange(len(value)) - np.repeat(head, size)
+    factor = np.full(int(size.max()), 0xD6E8FEB86659FD93, np.uint64)
+    factor[0] = 1
+    total = np.add.reduceat(value * np.cumprod(factor, dtype=np.uint64)[rank], head)
+    return np.where(size == 1, value[head], tb.mix(total))
+
+
+def template(c: tb.Chunk, units: np.ndarray) -> Tokens:
+    """Tokens of a chunk, and the template units they make."""
     buf, offs = c.buf, c.offs
     n = len(buf)
     member = _TERM[buf]
@@ -75,7 +100,7 @@ def template(c: tb.Chunk, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     value = tb.span_hashes(buf + np.uint8(0x20) * accented, starts, ends, tb.BYTE_VALUE_FOLDED)
     doc = np.searchsorted(offs, starts, "right") - 1
     if not len(starts):
-        return doc, value, value
+        return Tokens(doc, value, starts, value, value)
     number = digit[starts]
     stops = np.concatenate(([0], np.cumsum(_STOP[buf])))
     opens = np.ones(len(starts), bool)  # first of a sentence, line or document
@@ -91,31 +116,36 @@ def template(c: tb.Chunk, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         at = np.minimum(np.searchsorted(units, value[follows]), len(units) - 1)
         unit[follows] = units[at] == value[follows]
     kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return doc, kind, value
+    blanks = np.concatenate(([0], np.cumsum(tb.SPACE[buf])))
+    same = doc[1:] == doc[:-1]
+    spaced = blanks[starts[1:]] - blanks[ends[:-1]] == starts[1:] - ends[:-1]
+    joins = same & ((name[1:] & name[:-1] & ~unit[1:] & ~unit[:-1]) | (number[1:] & number[:-1] & spaced))
+    head = np.flatnonzero(np.concatenate(([True], ~joins)))
+    return Tokens(doc, value, head, kind[head], _runs(head, value))
 
 
 def windows(c: tb.Chunk, units: np.ndarray, sizes: list[int]):
-    """For each size: (document, token number in it, hash, first token)."""
-    doc, kind, value = template(c, units)
-    first_of = np.searchsorted(doc, np.arange(len(c.offs)))
-    literal = np.concatenate(([0], np.cumsum(kind == value)))
+    """For each size: (document, hash, tokens at which its units begin and the
+    last one ends, values of its units, 0 for literals)."""
+    t = template(c, units)
+    doc = t.doc[t.head]
+    first_of = np.searchsorted(t.doc, np.arange(len(c.offs)))
+    literal = np.concatenate(([0], np.cumsum(t.kind == t.slot)))
+    edge = np.append(t.head, len(t.doc))
+    slot = np.where(t.kind == t.slot, np.uint64(0), t.slot)
     for k in sizes:
-        g = tb.window_hashes(kind, k)
+        g = tb.window_hashes(t.kind, k)
         if not len(g):
             continue
         whole = doc[:len(g)] == doc[k - 1:]
         rich = literal[k:] - literal[:-k] >= min(LITERALS, max(1, k - 1))
         at = np.flatnonzero(whole & rich)
-        yield k, doc[at], at - first_of[doc[at]], g[at], at, kind, value
-
+        yield k, doc[at], g[at], lambda may, k=k, at=at: (
+            edge[at[may][:, None] + np.arange(k + 1)] - first_of[doc[at[may]]][:, None],
+            slot[at[may][:, None] + np.arange(k)].view(np.int64))
 
-def _slots(kind, value, at, k) -> list[list[int]]:
-    """Values of the k tokens of each window, 0 for literals."""
-    where = at[:, None] + np.arange(k)
-    return np.where(kind[where] == value[where], np.uint64(0), value[where]).view(np.int64).tolist()
 
-
-WINDOWS = "size int, pos long, hash long, slots array<bigint>"
+WINDOWS = "size int, hash long, edges array<bigint>, slots array<bigint>"
 
 
 def _window_rows(frame: DataFrame, key: str, sizes: list[int], sent=None) -> DataFrame:
@@ -125,44 +155,47 @@ def _window_rows(frame: DataFrame, key: str, sizes: list[int], sent=None) -> Dat
         bits = None if sent is None else np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
             for c in tb.chunks(batch.column(1)):
-                out = []
-                for k, doc, pos, g, at, kind, value in windows(c, units, sizes):
-                    if bits is not None:
-                        may = bits[(g >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
-                        doc, pos, g, at = doc[may], pos[may], g[may], at[may]
-                    if len(at):
-                        out.append((np.full(len(at), k, np.int32), doc + c.first, pos, g.view(np.int64), _slots(kind, value, at, k)))
-                for k, row, pos, g, slots in out:
+                for k, doc, g, places in windows(c, units, sizes):
+                    may = np.arange(len(g)) if bits is None else np.flatnonzero(bits[(g >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
+                    if not len(may):
+                        continue
+                    edges, slots = places(may)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array(k), pa.array(pos, pa.int64()), pa.array(g), pa.array(slots, pa.list_(pa.int64()))],
-                        ["key", "size", "pos", "hash", "slots"])
+                        [batch.column(0).take(pa.array(doc[may] + c.first)), pa.array(np.full(len(may), k, np.int32)), pa.array(g[may].view(np.int64)),
+                         *[pa.ListArray.from_arrays(pa.array(np.arange(len(may) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), pa.int64())) for v in (edges, slots)]],
+                        ["key", "size", "hash", "edges", "slots"])
 
     kind = dict(frame.dtypes)[key]
     return frame.select(key, "text").mapInArrow(run, f"key {kind}, {WINDOWS}")
 
 
 def _lengths(items: DataFrame) -> DataFrame:
+    """Tokens and units of every item."""
     def run(batches):
         units = _unit_hashes()
         for batch in batches:
-            n = [np.bincount(template(c, units)[0], minlength=len(c.offs) - 1) for c in tb.chunks(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], ["item", "tokens"])
+            n = [np.zeros((2, 0), np.int64)]
+            for c in tb.chunks(batch.column(1)):
+                t = template(c, units)
+                n.append(np.stack([np.bincount(d, minlength=len(c.offs) - 1) for d in (t.doc, t.doc[t.head])]))
+            tokens, parts = np.concatenate(n, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(parts, pa.int64())], ["item", "tokens", "units"])
 
     kind = dict(items.dtypes)["item"]
-    return items.select("item", "text").mapInArrow(run, f"item {kind}, tokens long")
+    return items.select("item", "text").mapInArrow(run, f"item {kind}, tokens long, units long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str = "item_id") -> DataFrame:
     """doc, item, start (token of the document), covered, tokens, share and
-    slots_changed of every alignment that covers enough of an item.  ``docs``
-    has a unique column doc."""
+    slots_changed of the best stretch of every document-item pair that covers
+    enough of the item.  ``docs`` has a unique column doc."""
     items = benchmark.select(F.col(item).alias("item"), "text").where("text IS NOT NULL AND item IS NOT NULL").dropDuplicates()
     items = items.groupBy("item").agg(F.max("text").alias("text"))
     lengths = written(_lengths(items), "items")
-    short = [r[0] for r in lengths.where(F.col("tokens").between(SHORTEST, WINDOW - 1)).select("tokens").distinct().collect()]  # below WINDOW
+    short = [r[0] for r in lengths.where(F.col("units").between(SHORTEST, WINDOW - 1)).select("units").distinct().collect()]  # below WINDOW
     sizes = sorted({WINDOW, *short})
     known = _window_rows(items, "item", sizes).withColumnRenamed("key", "item").join(lengths, "item")
-    known = written(known.where(f"size = {WINDOW} or tokens = size"), "known").withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"})
+    known = written(known.where(f"size = {WINDOW} or units = size"), "known").withColumnsRenamed({"edges": "item_edges", "slots": "item_slots"})
 
     slot = (F.shiftrightunsigned("hash", 64 - MAP_BITS)).cast("long")
     cells = known.select(F.floor(slot / 8).cast("int").alias("byte"), F.call_function("shiftright", F.lit(128), F.pmod(slot, F.lit(8)).cast("int")).alias("bit"))
@@ -172,21 +205,25 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str =
     sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     seen = _window_rows(docs, "doc", sizes, sent).withColumnRenamed("key", "doc")
-    hits = written(seen.join(known, ["hash", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos")), "hits")
-    line = ["doc", "item", "shift"]
-    # slots of an alignment: which new value each original value takes, by majority of its places
-    pairs = hits.select(*line, "item_pos", F.posexplode(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))).alias("k", "z"))
-    places = pairs.where("z.a <> 0 OR z.b <> 0").select(*line, (F.col("item_pos") + F.col("k")).alias("place"), F.col("z.a").alias("old"), F.col("z.b").alias("new")).distinct()
-    votes = places.groupBy(*line, "old", "new").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy(*line, "old").agg(F.max_by("new", F.struct("n", "new")).alias("chosen"))
-    wrong = places.join(chosen, [*line, "old"]).where("new <> chosen").select(*line, "place")
-    changed = votes.where("old <> new").groupBy(*line).agg(F.count("*").alias("slots_changed"))
-    spread = hits.select(*line, "tokens", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("size") - 1)).alias("place")).distinct()
-    spread = spread.join(wrong, [*line, "place"], "left_anti")
-    aligned = spread.groupBy(*line, "tokens").agg(F.count("*").alias("covered"), (F.min("place") + F.col("shift")).alias("start"))
-    aligned = aligned.where(F.col("covered") >= least * F.col("tokens"))
-    return aligned.join(changed, line, "left").select(
+    hits = written(seen.join(known, ["hash", "size"]), "hits")
+    line = ["doc", "item", "tokens", "stretch"]
+    number = F.floor(F.col("edges")[0] / (STRETCH * F.col("tokens")))
+    parts = hits.withColumn("stretch", F.explode(F.array(number, number - 1))).select(*line, F.inline(F.expr(
+        "transform(sequence(1, size), i -> named_struct('place', item_edges[i - 1], 'length', item_edges[i] - item_edges[i - 1], "
+        "'at', edges[i - 1], 'old', item_slots[i - 1], 'new', slots[i - 1]))")))
+    parts = parts.groupBy(*line, "place", "length", "at", "old", "new").agg(F.count("*").alias("windows"))
+    # slots of a stretch: which new value each original value takes, by majority of its places
+    votes = parts.where("old <> 0").groupBy(*line, "old", "new").agg(F.size(F.collect_set("place")).alias("n"), F.sum("windows").alias("w"))
+    chosen = votes.groupBy(*line, "old").agg(F.max_by("new", F.struct("n", "w", F.col("old") == F.col("new"), "new")).alias("chosen"))
+    changed = chosen.where("old <> chosen").groupBy(*line).agg(F.count("*").alias("slots_changed"))
+    right = parts.join(chosen, [*line, "old"], "left").where("old = 0 or new = chosen")
+    places = right.withColumn("place", F.explode(F.expr("sequence(place, place + length - 1)"))).groupBy(*line).agg(F.count_distinct("place").alias("places"))
+    stands = right.groupBy(*line, "at").agg(F.max("length").alias("length")).groupBy(*line).agg(F.sum("length").alias("stands"), F.min("at").alias("start"))
+    whole = places.join(stands, line).withColumn("covered", F.least("places", "stands")).where(F.col("covered") >= least * F.col("tokens"))
+    whole = whole.join(changed, line, "left").select(
         "doc", "item", "start", "covered", "tokens", (F.col("covered") / F.col("tokens")).alias("share"), F.coalesce("slots_changed", F.lit(0)).alias("slots_changed"))
+    best = F.max_by(F.struct("start", "covered", "tokens", "share", "slots_changed"), F.struct("share", -F.col("slots_changed"), -F.col("start")))
+    return whole.groupBy("doc", "item").agg(best.alias("b")).select("doc", "item", "b.*")
 
 
 def numbered(docs: DataFrame) -> DataFrame:

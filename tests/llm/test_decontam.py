@@ -72,3 +72,28 @@ def test_awkward_and_empty(spark):
     assert decontam.clean(docs, bench(spark, ["nothing like it at all in there"])).count() == docs.count()
     assert decontam.clean(docs, bench(spark, ["x"]).limit(0)).count() == docs.count()
     assert decontam.clean(docs.limit(0), bench(spark, [QUESTION])).count() == 0
+
+
+def test_alignments_of_an_edited_copy_add_up(spark):
+    items = [" ".join(prose(36, s)) for s in range(6)]
+    docs = []
+    for k, text in enumerate(items):
+        words = text.split()
+        docs.append(" ".join(prose(30, 50 + k) + words[:12] + ["extra"] + words[12:24] + ["other"] + words[24:] + prose(30, 90 + k)))
+    far = items[0].split()  # the pieces far apart are no copy
+    docs.append(" ".join(far[:12] + prose(400, 7) + far[12:24] + prose(400, 8) + far[24:]))
+    assert set(found(spark, docs, items)) == {(k, k) for k in range(6)}
+
+
+def test_names_and_numbers_of_other_word_counts(spark):
+    item = "Yesterday the baker Tom Smith sold 1 250 loaves in New York and the baker Tom Smith gave 30 loaves away in New York for free"
+    copy = item.replace("Tom Smith", "Ben").replace("New York", "Boston").replace("1 250", "75")
+    got = found(spark, [copy, item], [item])
+    assert set(got) == {(0, 0), (1, 0)}
+    assert got[0, 0]["share"] == 1 and got[0, 0]["slots_changed"] == 3 and got[1, 0]["slots_changed"] == 0
+
+
+def test_a_repeated_phrase_stands_for_one_place(spark):
+    phrase = "red apples grow on tall trees"
+    item = f"{phrase} {phrase} {' '.join(prose(8, 3))}"
+    assert found(spark, [f"see {phrase} now"], [item]) == {}
