@@ -18,11 +18,16 @@ document is contaminated where the places left in one stretch are at least
 
 Because placeholders match any number, name or unit, re-parameterised copies
 of a question are caught like verbatim ones; ``slots_changed`` tells them
-apart.
-
-Null or empty texts and texts shorter than a window match nothing (items
-shorter than a window are searched as a whole, from ``SHORTEST`` tokens);
-repeated rows are each judged; null doc_ids are judged by their text alone;
+apart.  A template window needs ``LITERALS`` tokens that are no placeholders:
+placeholders alone prove nothing.  Beside it every window of ``WINDOW`` tokens
+is hashed by the tokens themselves, so verbatim copies join exactly however
+few literals they have.  Characters of scripts written without spaces (Chinese,
+Japanese, Thai, Lao, Khmer, Burmese) are tokens of their own.
+
+Null or empty texts match nothing.  Items shorter than a window are searched as
+a whole: by their template from ``SHORTEST`` units, by their own tokens from
+one token, so an item of a single word is found wherever that word stands.
+Repeated rows are each judged; null doc_ids are judged by their text alone;
 an empty benchmark matches nothing; extra columns pass through.
 """
 
@@ -49,6 +54,7 @@ UNITS = ("kg g mg t lb lbs oz km m cm mm mi mile miles ft feet foot inch inches
          "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
          "usd eur gbp dollar dollars euro euros cent cents pound pounds percent degree degrees mph kmh kb mb gb tb hz khz mhz ghz w kw v").split()
 
+EXACT = np.uint64(0x3C6EF372FE94F82B)  # keeps hashes of tokens apart from hashes of templates
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -58,6 +64,29 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"()|"]] = True
 
 
+# First two bytes of the characters of scripts without spaces, as 256 * first + second.
+_UNSPACED = np.zeros(1 << 16, bool)
+for _a, _b in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE381, 0xE383), (0xE390, 0xE3BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3)):
+    _UNSPACED[_a:_b + 1] = True
+_UNSPACED[[256 * a + b for a in range(0xE4, 0xEA) for b in range(0x80, 0xC0)]] = True
+_BROAD = np.zeros(1 << 16, bool)  # CJK and full-width punctuation
+_BROAD[[0xE380, 0xEFBC]] = True
+
+
+def _scripts(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a character of an unspaced script begins or ends, and
+    bytes of broad punctuation."""
+    pair = (buf[:-1].astype(np.uint16) << np.uint16(8)) | buf[1:]
+    at = np.flatnonzero(_UNSPACED[pair])
+    mark = np.flatnonzero(_BROAD[pair])
+    mark = mark[mark + 2 < len(buf)]
+    third = buf[mark + 2]
+    # 々 〆 〇 are letters; of U+FF00..FF3F the digits and capitals are terms
+    letter = np.where(pair[mark] == 0xE380, (third >= 0x85) & (third <= 0x87), ((third >= 0x90) & (third <= 0x99)) | ((third >= 0xA1) & (third <= 0xBA)))
+    mark = mark[~letter]
+    return np.unique(np.concatenate([at, at + np.where(buf[at] == 0xF0, 4, 3)])), np.concatenate([mark, mark + 1, mark + 2])
+
+
 def _unit_hashes() -> np.ndarray:
     raw = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
     starts, ends = tb.spans(_TERM[raw], np.array([0, len(raw)]))
@@ -94,7 +123,15 @@ def template(c: tb.Chunk, units: np.ndarray) -> Tokens:
         inner[edge[(edge >= 0) & (edge < n - 2)]] = False  # not across documents
         member = member.copy()
         member[1:-1] |= inner
+    cuts, marks = _scripts(buf)
+    if len(marks):
+        member = member.copy()
+        member[marks] = False
     starts, ends = tb.spans(member, offs)
+    if len(cuts):
+        cuts = cuts[cuts < n]
+        cuts = np.setdiff1d(cuts[member[cuts] & member[cuts - 1] & (cuts > 0)], offs)
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     accented = np.zeros(n, bool)  # second bytes of À..Þ, folded like A-Z
     accented[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
     value = tb.span_hashes(buf + np.uint8(0x20) * accented, starts, ends, tb.BYTE_VALUE_FOLDED)
@@ -124,9 +161,10 @@ def template(c: tb.Chunk, units: np.ndarray) -> Tokens:
     return Tokens(doc, value, head, kind[head], _runs(head, value))
 
 
-def windows(c: tb.Chunk, units: np.ndarray, sizes: list[int]):
-    """For each size: (document, hash, tokens at which its units begin and the
-    last one ends, values of its units, 0 for literals)."""
+def windows(c: tb.Chunk, units: np.ndarray, sizes: list[int], exact: list[int]):
+    """For each size of template windows, then of exact ones: (size, whether
+    exact, document, hash, tokens at which its units begin and the last one
+    ends, values of its units, 0 for literals and in exact windows)."""
     t = template(c, units)
     doc = t.doc[t.head]
     first_of = np.searchsorted(t.doc, np.arange(len(c.offs)))
@@ -140,30 +178,38 @@ def windows(c: tb.Chunk, units: np.ndarray, sizes: list[int]):
         whole = doc[:len(g)] == doc[k - 1:]
         rich = literal[k:] - literal[:-k] >= min(LITERALS, max(1, k - 1))
         at = np.flatnonzero(whole & rich)
-        yield k, doc[at], g[at], lambda may, k=k, at=at: (
+        yield k, False, doc[at], g[at], lambda may, k=k, at=at: (
             edge[at[may][:, None] + np.arange(k + 1)] - first_of[doc[at[may]]][:, None],
             slot[at[may][:, None] + np.arange(k)].view(np.int64))
+    for k in exact:
+        g = tb.window_hashes(t.value, k) ^ EXACT
+        if not len(g):
+            continue
+        at = np.flatnonzero(t.doc[:len(g)] == t.doc[k - 1:])
+        yield k, True, t.doc[at], g[at], lambda may, k=k, at=at: (
+            at[may][:, None] + np.arange(k + 1) - first_of[t.doc[at[may]]][:, None], np.zeros((len(may), k), np.int64))
 
 
-WINDOWS = "size int, hash long, edges array<bigint>, slots array<bigint>"
+WINDOWS = "size int, exact boolean, hash long, edges array<bigint>, slots array<bigint>"
 
 
-def _window_rows(frame: DataFrame, key: str, sizes: list[int], sent=None) -> DataFrame:
+def _window_rows(frame: DataFrame, key: str, sizes: list[int], exact: list[int], sent=None) -> DataFrame:
     """Windows of every text; with a bit map, only those that it lets pass."""
     def run(batches):
         units = _unit_hashes()
         bits = None if sent is None else np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
             for c in tb.chunks(batch.column(1)):
-                for k, doc, g, places in windows(c, units, sizes):
+                for k, alike, doc, g, places in windows(c, units, sizes, exact):
                     may = np.arange(len(g)) if bits is None else np.flatnonzero(bits[(g >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
                     if not len(may):
                         continue
                     edges, slots = places(may)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc[may] + c.first)), pa.array(np.full(len(may), k, np.int32)), pa.array(g[may].view(np.int64)),
+                        [batch.column(0).take(pa.array(doc[may] + c.first)), pa.array(np.full(len(may), k, np.int32)),
+                         pa.array(np.full(len(may), alike)), pa.array(g[may].view(np.int64)),
                          *[pa.ListArray.from_arrays(pa.array(np.arange(len(may) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), pa.int64())) for v in (edges, slots)]],
-                        ["key", "size", "hash", "edges", "slots"])
+                        ["key", "size", "exact", "hash", "edges", "slots"])
 
     kind = dict(frame.dtypes)[key]
     return frame.select(key, "text").mapInArrow(run, f"key {kind}, {WINDOWS}")
@@ -192,10 +238,11 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str =
     items = benchmark.select(F.col(item).alias("item"), "text").where("text IS NOT NULL AND item IS NOT NULL").dropDuplicates()
     items = items.groupBy("item").agg(F.max("text").alias("text"))
     lengths = written(_lengths(items), "items")
-    short = [r[0] for r in lengths.where(F.col("units").between(SHORTEST, WINDOW - 1)).select("units").distinct().collect()]  # below WINDOW
-    sizes = sorted({WINDOW, *short})
-    known = _window_rows(items, "item", sizes).withColumnRenamed("key", "item").join(lengths, "item")
-    known = written(known.where(f"size = {WINDOW} or units = size"), "known").withColumnsRenamed({"edges": "item_edges", "slots": "item_slots"})
+    below = {c: [r[0] for r in lengths.where(F.col(c).between(least_, WINDOW - 1)).select(c).distinct().collect()]  # below WINDOW
+             for c, least_ in (("units", SHORTEST), ("tokens", 1))}
+    sizes, exact = (sorted({WINDOW, *below[c]}) for c in ("units", "tokens"))
+    known = _window_rows(items, "item", sizes, exact).withColumnRenamed("key", "item").join(lengths, "item")
+    known = written(known.where(f"size = {WINDOW} or size = if(exact, tokens, units)"), "known").withColumnsRenamed({"edges": "item_edges", "slots": "item_slots"})
 
     slot = (F.shiftrightunsigned("hash", 64 - MAP_BITS)).cast("long")
     cells = known.select(F.floor(slot / 8).cast("int").alias("byte"), F.call_function("shiftright", F.lit(128), F.pmod(slot, F.lit(8)).cast("int")).alias("bit"))
@@ -204,8 +251,8 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str =
         table[r["byte"]] = r["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
-    seen = _window_rows(docs, "doc", sizes, sent).withColumnRenamed("key", "doc")
-    hits = written(seen.join(known, ["hash", "size"]), "hits")
+    seen = _window_rows(docs, "doc", sizes, exact, sent).withColumnRenamed("key", "doc")
+    hits = written(seen.join(known, ["hash", "size", "exact"]), "hits")
     line = ["doc", "item", "tokens", "stretch"]
     number = F.floor(F.col("edges")[0] / (STRETCH * F.col("tokens")))
     parts = hits.withColumn("stretch", F.explode(F.array(number, number - 1))).select(*line, F.inline(F.expr(

@@ -97,3 +97,16 @@ def test_a_repeated_phrase_stands_for_one_place(spark):
     phrase = "red apples grow on tall trees"
     item = f"{phrase} {phrase} {' '.join(prose(8, 3))}"
     assert found(spark, [f"see {phrase} now"], [item]) == {}
+
+
+def test_verbatim_items_poor_in_literals(spark):
+    items = ["What is 12 + 30 * 7?", "Compute 17 + 25 - 9.", "10 20 30 40 50 60 70 80", "New York"]
+    pad = " ".join(prose(30, 1))
+    docs = [f"{pad}. {q} {pad}" for q in items] + [f"{pad}. What is 13 + 31 * 8? Compute 18 + 26 - 8. 11 21 31 41 51 {pad}", f"{pad} in New York {pad}"]
+    assert set(found(spark, docs, items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 3)}
+
+
+def test_scripts_without_spaces(spark):
+    items = ["小明有十二个苹果，他给了小红三个，还剩几个苹果？", "二足す三は？", "ราคาเท่าไร"]
+    docs = [f"前言不搭后语。{items[0]}谢谢大家", f"質問：{items[1]}答え", f"ก่อน{items[2]}หลัง", "今天天气很好，我们一起去公园散步吧。"]
+    assert set(found(spark, docs, items)) == {(0, 0), (1, 1), (2, 2)}
