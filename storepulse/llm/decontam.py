@@ -27,7 +27,8 @@ Japanese, Thai, Lao, Khmer, Burmese) are tokens of their own.
 Null or empty texts match nothing.  Items shorter than a window are searched as
 a whole: by their template from ``SHORTEST`` units, by their own tokens from
 one token, so an item of a single word is found wherever that word stands.
-Repeated rows are each judged; null doc_ids are judged by their text alone;
+Every distinct text of an item_id is searched, and the best one answers for
+the item.  Repeated rows are each judged; null doc_ids are judged by their text alone;
 an empty benchmark matches nothing; extra columns pass through.
 """
 
@@ -225,10 +226,9 @@ def _lengths(items: DataFrame) -> DataFrame:
                 t = template(c, units)
                 n.append(np.stack([np.bincount(d, minlength=len(c.offs) - 1) for d in (t.doc, t.doc[t.head])]))
             tokens, parts = np.concatenate(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(parts, pa.int64())], ["item", "tokens", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(parts, pa.int64())], ["variant", "tokens", "units"])
 
-    kind = dict(items.dtypes)["item"]
-    return items.select("item", "text").mapInArrow(run, f"item {kind}, tokens long, units long")
+    return items.select("variant", "text").mapInArrow(run, "variant long, tokens long, units long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str = "item_id") -> DataFrame:
@@ -236,12 +236,12 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str =
     slots_changed of the best stretch of every document-item pair that covers
     enough of the item.  ``docs`` has a unique column doc."""
     items = benchmark.select(F.col(item).alias("item"), "text").where("text IS NOT NULL AND item IS NOT NULL").dropDuplicates()
-    items = items.groupBy("item").agg(F.max("text").alias("text"))
-    lengths = written(_lengths(items), "items")
+    items = items.withColumn("variant", F.xxhash64(F.col("item").cast("string"), "text"))  # one of the item's texts
+    lengths = written(_lengths(items).join(items.select("item", "variant"), "variant"), "items")
     below = {c: [r[0] for r in lengths.where(F.col(c).between(least_, WINDOW - 1)).select(c).distinct().collect()]  # below WINDOW
              for c, least_ in (("units", SHORTEST), ("tokens", 1))}
     sizes, exact = (sorted({WINDOW, *below[c]}) for c in ("units", "tokens"))
-    known = _window_rows(items, "item", sizes, exact).withColumnRenamed("key", "item").join(lengths, "item")
+    known = _window_rows(items, "variant", sizes, exact).withColumnRenamed("key", "variant").join(lengths, "variant")
     known = written(known.where(f"size = {WINDOW} or size = if(exact, tokens, units)"), "known").withColumnsRenamed({"edges": "item_edges", "slots": "item_slots"})
 
     slot = (F.shiftrightunsigned("hash", 64 - MAP_BITS)).cast("long")
@@ -253,7 +253,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, item: str =
 
     seen = _window_rows(docs, "doc", sizes, exact, sent).withColumnRenamed("key", "doc")
     hits = written(seen.join(known, ["hash", "size", "exact"]), "hits")
-    line = ["doc", "item", "tokens", "stretch"]
+    line = ["doc", "item", "variant", "tokens", "stretch"]
     number = F.floor(F.col("edges")[0] / (STRETCH * F.col("tokens")))
     parts = hits.withColumn("stretch", F.explode(F.array(number, number - 1))).select(*line, F.inline(F.expr(
         "transform(sequence(1, size), i -> named_struct('place', item_edges[i - 1], 'length', item_edges[i] - item_edges[i - 1], "

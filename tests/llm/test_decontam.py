@@ -110,3 +110,12 @@ def test_scripts_without_spaces(spark):
     items = ["小明有十二个苹果，他给了小红三个，还剩几个苹果？", "二足す三は？", "ราคาเท่าไร"]
     docs = [f"前言不搭后语。{items[0]}谢谢大家", f"質問：{items[1]}答え", f"ก่อน{items[2]}หลัง", "今天天气很好，我们一起去公园散步吧。"]
     assert set(found(spark, docs, items)) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_every_text_of_an_item_is_searched(spark):
+    texts = [" ".join(prose(n, s)) for s, n in enumerate((20, 25, 30, 35))]
+    items = spark.createDataFrame([(k // 3, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = documents(spark, [f"before {t} after" for t in texts])
+    by = {r["doc"]: i for i, r in enumerate(rows(decontam.numbered(docs)))}
+    got = {(by[r["doc"]], r["item"]): r["tokens"] for r in rows(decontam.find(decontam.numbered(docs), items))}
+    assert got == {(0, 0): 20, (1, 0): 25, (2, 0): 30, (3, 1): 35}
