@@ -2,7 +2,8 @@
 
 A block of ids is compressed in rounds.  A round counts all adjacent pairs,
 makes a nonterminal of each of the most frequent ones and replaces their
-occurrences from left to right; nonterminals take part in later rounds.
+occurrences from left to right; nonterminals take part in later rounds.  Rounds
+go on until no pair occurs ``FEWEST`` times.
 Stored are the rules (two symbols each), every rule's expansion length and the
 remaining sequence, so a reader finds any token position from running sums of
 expansion lengths and expands only the symbols it needs.
@@ -18,6 +19,7 @@ doc_ids come first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -30,7 +32,6 @@ from storepulse.llm import tokens
 from storepulse.llm.common import written
 
 BLOCK = 1 << 20  # tokens after which a block is closed
-ROUNDS = 4
 RULES = 3000  # new rules a round at most
 FEWEST = 12  # occurrences that make a pair frequent
 _SLOTS = 17
@@ -43,11 +44,12 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, limit: int = RULES, fewest: int = FEWEST):
-    """(symbols, rules as an (n, 2) array) of the ids, all below ``first``."""
+def compress(ids: np.ndarray, first: int, rounds: int | None = None, limit: int = RULES, fewest: int = FEWEST):
+    """(symbols, rules as an (n, 2) array) of the ids, all below ``first``;
+    without ``rounds``, until no pair is frequent."""
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         narrow = first + len(rules) <= 1 << 16

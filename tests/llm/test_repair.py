@@ -59,6 +59,20 @@ def test_repetition_is_compressed():
     assert repair.rule_lengths(rules, 100).max() >= 16
 
 
+def test_grammar_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 5000, 120)
+    ids = np.concatenate([np.concatenate([rng.integers(0, 5000, 60), passage]) for _ in range(1000)]).astype("<u4")
+    symbols, rules = repair.compress(ids, 5000)
+    lengths = repair.rule_lengths(rules, 5000)
+    assert (repair.expand(symbols, rules, lengths, 5000) == ids).all()
+    assert lengths.max() >= 120 and len(symbols) < 62 * 1000
+    for k in (np.arange(16) % 2, np.zeros(5000), rng.integers(0, 40, 20_000)):
+        symbols, rules = repair.compress(k.astype("<u4"), 100)
+        _, count = np.unique(np.stack([symbols[:-1], symbols[1:]], 1), axis=0, return_counts=True)
+        assert not len(count) or count.max() < repair.FEWEST
+
+
 def test_round_trip_of_documents(spark):
     docs = read_table(spark, SF_SMALL, "documents")
     got = {r["doc_id"]: r for r in rows(repair.round_trip(docs, per_shard=13))}
