@@ -66,6 +66,17 @@ def test_added_and_allowed(spark):
     assert {a: got[len(keys) + i] for i, a in enumerate(allowed)} == dict.fromkeys(allowed, "")
 
 
+def test_keys_behind_names_paths_and_dates(spark):
+    key = "q7Zp2LxV9mKd4RtYb8WnC3sHf6Jg"
+    letters = "qWzKpLxVrmTdBRtYbGWnCJsHfUeg"
+    hidden = [f"STRIPE_TEST_KEY={key}", f"/srv/example/{key}", f"2024-01-31-{key}", f"AUTH_KEY={key}", f"your_{key}-xxxx", letters, f"/srv/example/{letters}"]
+    allowed = ["/srv/example/config/settings/production", "STRIPE_TEST_KEY=YOUR_PLACEHOLDER_HERE", "2024-01-31-release-notes-example",
+               "internationalizationandlocalization", "/docs/example/getElementByIdentifier/page12", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    got = {r["doc_id"]: r["spans"] for r in digest(secrets.detect(documents(spark, [f"see {t} now" for t in hidden + allowed])))}
+    assert {t: got[i] for i, t in enumerate(hidden)} == {t: f"entropy:4:{4 + len(t)}" for t in hidden}
+    assert {t: got[len(hidden) + i] for i, t in enumerate(allowed)} == dict.fromkeys(allowed, "")
+
+
 def test_awkward_and_empty(spark):
     docs = awkward(spark)
     got = digest(secrets.detect(docs))
