@@ -53,3 +53,72 @@ judged AS (
 SELECT page_id, host, path, CASE {name} END AS rule, CASE {verdict} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM judged
 """
+
+
+#: Cuts by code points; the text is rebuilt from the output's markers.
+FIM = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+numbers AS (
+    SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+           ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+    FROM drawn),
+cuts AS (
+    SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers),
+parts AS (
+    SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts),
+made AS (
+    SELECT *, CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END AS output
+    FROM parts),
+back AS (
+    SELECT *, CASE form
+        WHEN 'psm' THEN split_part(split_part(substr(output, 4), '<S>', 1), '<M>', 1) || split_part(output, '<M>', 2)
+                        || split_part(split_part(output, '<S>', 2), '<M>', 1)
+        WHEN 'spm' THEN split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || split_part(substr(output, 4), '<P>', 1)
+        ELSE output END AS again
+    FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(again) AS restored_sha256
+FROM back
+"""
+
+#: The checksum of a run is folded over its bytes with a table made from the
+#: polynomial; near words meet by the word without one code point.
+SPELLING = f"""
+WITH RECURSIVE polynomial AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, {_FOLD.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}'))")} AS run FROM documents),
+counted AS (SELECT run, doc_id || ':' || run AS name, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT run, n, hex(encode(name)) AS x FROM counted),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) AS h
+    FROM bytes, polynomial),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+struck AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM places),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM struck a JOIN struck b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM struck a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM struck a JOIN words b ON a.rest = b.word),
+best AS (
+    SELECT word, n, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM near GROUP BY word, n),
+forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * w.n THEN b.other END AS form,
+           CASE WHEN b.most >= 10 * w.n THEN b.most END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+chain(word, stop) AS (
+    SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.stop AS root FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import decontam, minhash, mixing, oracles, pii, quality, repair, secrets, sepscan, toxicity, urlfilter
+from storepulse.llm import decontam, fim, minhash, mixing, oracles, pii, quality, repair, secrets, sepscan, spelling, toxicity, urlfilter
 from storepulse.llm import spans as sp
 from storepulse.llm.common import read_table, written
 
@@ -87,6 +87,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.detect(docs), secrets.BASE, secrets.KINDS)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fim.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(again, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -98,9 +109,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op2_minhash": oracles.MINHASH,
     "op7_url_filter": oracles.url_filter(URL_RULES, LISTED_TERMS),
+    "op11_spelling": oracles.SPELLING,
+    "op12_fill_in_middle": oracles.FIM,
 }
