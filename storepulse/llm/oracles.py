@@ -122,3 +122,24 @@ chain(word, stop) AS (
 ends AS (SELECT c.word, c.stop AS root FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NULL)
 SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word
 """
+
+#: All windows of 400 bytes by their digest; texts in hexadecimal, so that a
+#: byte is two characters.
+REPEATS = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (
+    SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT r, x, unnest(range(length(x) // 2 - 399)) AS i FROM texts)),
+hits AS (SELECT r, i FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)),
+steps AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (
+    SELECT r, min(i) AS a, max(i) + 400 AS b
+    FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM steps) GROUP BY r, run),
+fronts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM runs),
+cut AS (
+    SELECT f.r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+           string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front
+    FROM fronts f JOIN texts t ON t.r = f.r GROUP BY f.r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE front || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM texts t LEFT JOIN cut c ON c.r = t.r
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storepulse.llm import decontam, fim, minhash, mixing, oracles, pii, quality, repair, secrets, sepscan, spelling, toxicity, urlfilter
+from storepulse.llm import decontam, fim, minhash, mixing, oracles, pii, quality, repair, repeats, secrets, sepscan, spelling, toxicity, urlfilter
 from storepulse.llm import spans as sp
 from storepulse.llm.common import read_table, written
 
@@ -98,6 +98,12 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(again, 256).alias("restored_sha256"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.removed(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_minhash": op2_minhash,
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_spelling": op11_spelling,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +125,5 @@ ORACLES: dict[str, str] = {
     "op7_url_filter": oracles.url_filter(URL_RULES, LISTED_TERMS),
     "op11_spelling": oracles.SPELLING,
     "op12_fill_in_middle": oracles.FIM,
+    "op13_repeats": oracles.REPEATS,
 }
