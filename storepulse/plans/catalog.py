@@ -213,7 +213,8 @@ from storepulse.streaming import live as ST  # noqa: E402
 
 QUERIES["stream_hourly_sales"] = ST.stream_hourly_sales
 QUERIES["stream_daily_dashboard"] = ST.stream_daily_dashboard
-QUERIES["stream_top_products"] = ST.stream_top_products
+# item and order dates of the test tables lie up to seven years apart
+QUERIES["stream_top_products"] = lambda spark, sf: ST.stream_top_products(spark, sf, early="2600 days", late="2600 days")
 QUERIES["stream_traffic"] = ST.stream_traffic
 QUERIES["stream_movement_totals"] = ST.stream_movement_totals
 

@@ -66,8 +66,9 @@ def transactions_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """sales_transaction_items from lineitem (batch or streaming)."""
+def items_from_lineitem(lineitem: DataFrame, *more) -> DataFrame:
+    """sales_transaction_items from lineitem (batch or streaming), with more
+    columns if wanted."""
     return lineitem.select(
         F.col("l_orderkey").alias("transaction_id"),
         F.col("l_partkey").alias("product_id"),
@@ -76,6 +77,7 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
         _cents(F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("total_cents"),
         _cents(F.col("l_extendedprice") * F.col("l_discount")).alias("discount_cents"),
         F.when(F.col("l_discount") >= F.lit(0.05), F.col("l_partkey") % PROMO_GROUPS + 1).alias("promotion_id"),
+        *more,
     )
 
 

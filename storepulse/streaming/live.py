@@ -8,24 +8,27 @@ batch answer.
 
 Sources are file streams over a folder (``pathGlobFilter`` picks the table
 file).  In update mode every micro-batch writes the windows that changed to a
-folder of its own epoch; a replayed epoch rewrites that folder.  A window's
-current row is the one of its last epoch, found by a grouped maximum over the
-stored changes, so nothing is kept on the driver and a stopped stream goes on
-from its folder.
+folder of its own epoch (``EpochLog``); a replayed epoch rewrites that folder.
+Every few epochs the log is folded into a base folder, so the number of
+folders stays bounded and readers never go through all epochs; nothing is
+kept on the driver and a stopped stream goes on from its folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from storepulse.functions.columns import round_half_up
 from storepulse.session import shared_dir
-from storepulse.sources.retail import items_from_lineitem, movements_from_lineitem, retail_tables
+from storepulse.sources.retail import items_from_lineitem, movements_from_lineitem, retail_tables, transactions_from_orders
 
 EVENT_WATERMARK = "2 hours"
 FACT_WATERMARK = "1 day"
+KEEP_EPOCHS = 8  # folders of single epochs after which they are folded into the base
 
 
 # ---------------------------------------------------------------- sources / sink
@@ -39,6 +42,78 @@ def stream_table(spark: SparkSession, folder: str, table: str, max_files_per_tri
     return reader.parquet(folder)
 
 
+class EpochLog:
+    """Rows per epoch of a stream under ``folder``, folded now and then.
+
+    ``batch-<e>`` holds the rows of epoch e, ``base-<e>`` what ``fold`` makes
+    of all rows up to and including epoch e.  Writing an epoch again gives the
+    same folders: a base of that epoch is dropped first, and folders that a
+    base stands for are only removed while a later epoch is written, when the
+    epoch of that base can no longer be replayed.  A folder counts once its
+    write has succeeded (``_SUCCESS``).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType,
+                 fold: Callable[[DataFrame], DataFrame], keep: int = KEEP_EPOCHS):
+        self.spark, self.folder, self.fold, self.keep = spark, folder, fold, keep
+        self.schema = StructType([*schema.fields, StructField("epoch", LongType())])
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _epochs(self, kind: str) -> list[int]:
+        """Epochs of the complete folders of a kind, ascending."""
+        if not self.files.exists(self._path("")):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self._path(""))]
+        return sorted(int(n.split("-")[1]) for n in names
+                      if n.startswith(f"{kind}-") and self.files.exists(self._path(f"{n}/_SUCCESS")))
+
+    def _drop(self, kind: str, epochs) -> None:
+        for e in epochs:
+            self.files.delete(self._path(f"{kind}-{e}"), True)
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        """Store the rows of an epoch; fold if there are enough epochs."""
+        self._drop("base", [e for e in self._epochs("base") if e >= epoch])
+        bases = self._epochs("base")
+        if bases:
+            self._drop("batch", [e for e in self._epochs("batch") if e <= bases[-1]])
+            self._drop("base", bases[:-1])
+        rows.withColumn("epoch", F.lit(epoch).cast("long")).select(self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch-{epoch}")
+        if len([e for e in self._epochs("batch") if e <= epoch]) >= self.keep:
+            self.read(epoch).write.mode("overwrite").parquet(f"{self.folder}/base-{epoch}")
+
+    def read(self, upto: int | None = None, where=None) -> DataFrame:
+        """The folded rows (of epochs up to ``upto``)."""
+        bases = [e for e in self._epochs("base") if upto is None or e < upto]
+        last = bases[-1] if bases else -1
+        paths = [f"{self.folder}/base-{e}" for e in bases[-1:]]
+        paths += [f"{self.folder}/batch-{e}" for e in self._epochs("batch") if e > last and (upto is None or e <= upto)]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        return self.fold(rows if where is None else rows.filter(where)).select(self.schema.names)
+
+
+def newest(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fold to the last version of each key."""
+    def fold(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
+    return fold
+
+
+def summed(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fold to the sums of each key."""
+    def fold(rows: DataFrame) -> DataFrame:
+        values = [c for c in rows.columns if c not in keys and c != "epoch"]
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in values], F.max("epoch").alias("epoch"))
+    return fold
+
+
 def run_stream(stream: DataFrame, name: str, output_mode: str = "update",
                keys: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Run a streaming aggregation until the available input is consumed and
@@ -62,19 +137,9 @@ def run_stream(stream: DataFrame, name: str, output_mode: str = "update",
         return spark.read.schema(stream.schema).parquet(out)
     if output_mode != "update":
         raise ValueError("a stream runs in update or append mode")
-
-    def changes(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/batch-{epoch_id}")
-
-    writer.foreachBatch(changes).trigger(availableNow=True).start().awaitTermination()
-    schema = StructType([*stream.schema.fields, StructField("epoch", LongType())])
-    return latest(spark.read.schema(schema).parquet(f"{out}/batch-*"), keys or ["window"])
-
-
-def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The last version of each key."""
-    values = [c for c in changes.columns if c not in keys and c != "epoch"]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
+    log = EpochLog(spark, out, stream.schema, newest(keys or ["window"]))
+    writer.foreachBatch(log.write).trigger(availableNow=True).start().awaitTermination()
+    return log.read().drop("epoch")
 
 
 def _purchases(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -124,27 +189,64 @@ def stream_traffic(spark: SparkSession, folder: str, bucket: str = "1 hour", sta
 
 
 # ---------------------------------------------------------------- ST3 / ST5 (retail facts)
-def stream_top_products(spark: SparkSession, folder: str, limit: int = 5, state: str | None = None) -> DataFrame:
-    """ST3 (A5): per day, quantity and revenue per product from the item
-    stream (stream-static join to transactions for the event time); the
-    day's top ``limit`` products by quantity are ranked on the streamed
-    aggregate (a global sort is not allowed on an unbounded stream)."""
-    r = retail_tables(spark, folder)
-    items = items_from_lineitem(stream_table(spark, folder, "lineitem"))
-    tx = r["sales_transactions"].select(F.col("id").alias("transaction_id"), "transaction_date")
-    dated = (items.join(tx, "transaction_id")
-             .withColumn("ts", F.col("transaction_date").cast("timestamp"))
-             .withWatermark("ts", FACT_WATERMARK))
-    agg = (dated.groupBy(F.window("ts", "1 day"), "product_id")
-           .agg(F.sum("quantity").alias("quantity_sold"), F.sum("total_cents").alias("cents")))
-    res = run_stream(agg, "top-products", keys=["window", "product_id"], folder=state)
-    names = r["products"].select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
-    day = F.to_date(F.col("window.start").cast("timestamp_ntz"))
-    rk = F.row_number().over(Window.partitionBy("day").orderBy(F.col("quantity_sold").desc(), F.col("product_id")))
-    return (res.withColumn("day", day).withColumn("rank", rk).filter(F.col("rank") <= limit)
-            .join(names, "product_id")
-            .select("day", F.col("rank").cast("bigint").alias("rank"), "product_name", "quantity_sold",
-                    (F.col("cents").cast("double") / 100.0).alias("revenue")))
+def lines_as_sold(items: DataFrame, tx: DataFrame, early: str, late: str, delay: str) -> DataFrame:
+    """Item rows (transaction_id, item_ts, ...) with their transaction (id,
+    ts), both streams, each up to ``delay`` late.  An item belongs to its
+    transaction if it is recorded between ``early`` before and ``late`` after
+    it; so either side waits in the state for the other only until the
+    watermarks have passed that bound, and is evicted then."""
+    items = items.withWatermark("item_ts", delay)
+    tx = tx.withWatermark("ts", delay)
+    return items.join(tx, (F.col("transaction_id") == F.col("id"))
+                      & (F.col("item_ts") >= F.col("ts") - F.expr(f"INTERVAL {early}"))
+                      & (F.col("item_ts") <= F.col("ts") + F.expr(f"INTERVAL {late}")))
+
+
+def stream_top_products(spark: SparkSession, folder: str, limit: int = 5, state: str | None = None,
+                        early: str = "1 hour", late: str = "1 hour", delay: str = FACT_WATERMARK,
+                        max_files_per_trigger: int | None = None, progress: list | None = None) -> DataFrame:
+    """ST3 (A5): per day the ``limit`` products sold most, kept up to date from
+    both streams, items and transactions (``lines_as_sold``; an item's own
+    time is its record date).
+
+    A stream-stream join emits each matched line once.  Every micro-batch adds
+    the sums of its lines per (day, product) to one log, reads back the sums
+    of the days that it touched, ranks them, and stores these days' new lists
+    in another log; both logs are folded every few epochs.  Per epoch the work
+    is that of the touched days.  ``progress`` collects the stream's progress
+    reports."""
+    base = state or shared_dir(spark, "stream", "top-products")
+    tx = transactions_from_orders(stream_table(spark, folder, "orders", max_files_per_trigger)).select(
+        "id", F.col("transaction_date").cast("timestamp").alias("ts"))
+    items = items_from_lineitem(stream_table(spark, folder, "lineitem", max_files_per_trigger),
+                                F.col("l_shipdate").cast("timestamp").alias("item_ts"))
+    lines = lines_as_sold(items, tx, early, late, delay)
+    lines = lines.select(F.to_date("ts").alias("day"), "product_id", "quantity", "total_cents")
+    key = ["day", "product_id"]
+    sums = EpochLog(spark, f"{base}/sums", spark.createDataFrame(
+        [], "day date, product_id long, quantity_sold long, cents long").schema, summed(key))
+    lists = EpochLog(spark, f"{base}/lists", spark.createDataFrame(
+        [], "day date, rank long, product_id long, quantity_sold long, cents long").schema, newest(["day", "rank"]))
+
+    def changes(batch: DataFrame, epoch: int) -> None:
+        new = batch.groupBy(*key).agg(F.sum("quantity").alias("quantity_sold"), F.sum("total_cents").alias("cents"))
+        sums.write(new, epoch)
+        own = spark.read.schema(sums.schema).parquet(f"{base}/sums/batch-{epoch}").select("day").distinct()
+        first, last = own.agg(F.min("day"), F.max("day")).first()
+        if first is None:  # nothing matched: no list changes
+            return
+        total = sums.read(epoch, F.col("day").between(F.lit(first), F.lit(last))).join(own, "day", "left_semi")
+        rank = F.row_number().over(Window.partitionBy("day").orderBy(F.col("quantity_sold").desc(), F.col("product_id")))
+        lists.write(total.drop("epoch").withColumn("rank", rank.cast("long")).filter(F.col("rank") <= limit), epoch)
+
+    query = (lines.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+             .foreachBatch(changes).trigger(availableNow=True).start())
+    query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
+    names = retail_tables(spark, folder)["products"].select(F.col("id").alias("product_id"), F.col("name").alias("product_name"))
+    return (lists.read().join(names, "product_id")
+            .select("day", "rank", "product_name", "quantity_sold", (F.col("cents").cast("double") / 100.0).alias("revenue")))
 
 
 def stream_movement_totals(spark: SparkSession, folder: str, state: str | None = None) -> DataFrame:
