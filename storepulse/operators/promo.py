@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions.columns import as_ts, between_ts, cents_avg, ratio, round_half_up, to_datetime
 from storepulse.operators.common import Tables, items_in, sold_lines, top_k
+from storepulse.operators.intervals import bounds, interval_join, within
 
 
 def _ts_of(date_col: str):
@@ -40,26 +41,42 @@ def _select_promotions(p: DataFrame, as_of, days, promotion_type, status, start,
     return p
 
 
+def _promoted_sales(r: Tables, links: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Item rows (``columns``) sold inside an interval of ``links`` (on,
+    start_date, end_date, ...) with their transaction's total tx_cents.
+
+    Transactions are cut to the span of the intervals before any join.  Where
+    item rows carry their date (the canonical layout) they are cut too and
+    joined by interval first, so that only rows inside an interval meet a
+    transaction; on the plain views the transaction brings the date."""
+    items = r["sales_transaction_items"]
+    tx = r["sales_transactions"].filter(within("transaction_date", *bounds(links, "start_date", "end_date"))).select(
+        F.col("id").alias("transaction_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
+    if "transaction_date" in items.columns:
+        sold = interval_join(items.select("transaction_id", "transaction_date", *columns), links, on, "transaction_date")
+        return sold.drop("transaction_date").join(tx.drop("transaction_date"), "transaction_id")
+    some = items.select("transaction_id", *columns).join(links.select(on).distinct(), on, "left_semi")
+    return interval_join(some.join(tx, "transaction_id"), links, on, "transaction_date")
+
+
 def _effectiveness(r: Tables, promos: DataFrame, avg_of: str) -> DataFrame:
     pp = r["promotion_products"]
     sel = promos.select(F.col("id").alias("promotion_id"), "start_date", "end_date")
     links = sel.join(pp, "promotion_id")
     n_products = links.groupBy("promotion_id").agg(F.countDistinct("product_id").alias("products_in_promotion"))
-    # only item rows sold under the promotion itself can contribute
-    hits = (r["sales_transaction_items"]
-            .select("transaction_id", "product_id", "promotion_id", "total_cents", "discount_cents")
-            .filter(F.col("promotion_id").isNotNull())
-            .join(links, ["product_id", "promotion_id"]))
-    tx = r["sales_transactions"].select(F.col("id").alias("tx_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
-    in_window = ((F.col("transaction_id") == F.col("tx_id"))
-                 & (F.col("transaction_date") >= _ts_of("start_date"))
-                 & (F.col("transaction_date") <= _ts_of("end_date")))
-    joined = hits.join(tx, in_window, "left")
-    avg_col = "tx_cents" if avg_of == "transaction" else "total_cents"
-    stats = joined.groupBy("promotion_id").agg(
-        F.sum("total_cents").alias("rev"), F.sum("discount_cents").alias("disc"),
-        F.countDistinct("tx_id").alias("transactions_count"),
-        cents_avg(avg_col).alias("avg_value"))
+    # revenue and discount are of item rows sold under the promotion on any
+    # date: one row per (product, promotion) before the join, no transaction
+    own = (r["sales_transaction_items"].filter(F.col("promotion_id").isNotNull())
+           .groupBy("product_id", "promotion_id")
+           .agg(F.sum("total_cents").alias("rev"), F.sum("discount_cents").alias("disc"), F.count("total_cents").alias("n"))
+           .join(links, ["product_id", "promotion_id"])
+           .groupBy("promotion_id").agg(F.sum("rev").alias("rev"), F.sum("disc").alias("disc"), F.sum("n").alias("n")))
+    # transactions are counted inside the promotion's own dates
+    sold = _promoted_sales(r, links, ["product_id", "promotion_id"], ["product_id", "promotion_id"])
+    dated = sold.groupBy("promotion_id").agg(
+        F.countDistinct("transaction_id").alias("transactions_count"), cents_avg("tx_cents").alias("tx_avg"))
+    stats = own.join(dated, "promotion_id", "left").withColumn(
+        "avg_value", F.col("tx_avg") if avg_of == "transaction" else ratio(F.col("rev"), F.col("n")) / 100.0)
     return (promos.withColumnRenamed("id", "promotion_id")
             .join(n_products, "promotion_id", "left").join(stats, "promotion_id", "left")
             .select(F.col("name").alias("promotion_name"), "promotion_type", "discount_percentage",
@@ -151,21 +168,18 @@ def promotion_comparison(r: Tables, promotion_id: int, start_date=None, end_date
     row, with null sums and zero counts when nothing matches or the promotion
     is unknown.
 
-    Where the dates are not given, the promotion's row is joined to the lines
-    (one row, so a bounded broadcast) and one pass computes both periods with
-    conditional aggregates; given dates become literal predicates that reach
-    the transaction scan.
+    Given dates are literals; otherwise the promotion's row is a scalar
+    subquery.  Either way the range of both periods reaches the scans, and one
+    pass computes both with conditional aggregates.
     """
     prods = r["promotion_products"].filter(F.col("promotion_id") == F.lit(promotion_id)).select("product_id")
     day = F.col("transaction_date")
     if start_date is not None and end_date is not None:
         s, e = as_ts(start_date), as_ts(end_date)
-        window = (day >= as_ts(to_datetime(start_date) - _dt.timedelta(days=30))) & (day <= e)
-        lines = sold_lines(r, window)
     else:
-        dates = promotion_dates(r, promotion_id).agg(F.min("start_date").alias("p_start"), F.min("end_date").alias("p_end"))
-        lines = sold_lines(r).crossJoin(F.broadcast(dates))  # one row
-        s, e = _ts_of("p_start"), _ts_of("p_end")
+        dates = promotion_dates(r, promotion_id)
+        s, e = (dates.agg(F.min(c).cast("timestamp_ntz")).scalar() for c in ("start_date", "end_date"))
+    lines = sold_lines(r, (day >= s - F.expr("INTERVAL 30 DAYS")) & (day <= e))
     before = (day >= s - F.expr("INTERVAL 30 DAYS")) & (day <= s - F.expr("INTERVAL 1 DAY"))
     during = (day >= s) & (day <= e)
     lines = lines.filter(before | during).join(prods, "product_id")
@@ -200,14 +214,8 @@ def promotional_impact(r: Tables, as_of, days: int = 30, start=None, end=None) -
     totals = (links.join(per_product, "product_id")
               .groupBy("promo").agg(F.sum("qty").alias("units"), F.sum("cents").alias("rev"),
                                     F.sum(F.col("cents") * F.col("discount_percentage")).alias("disc_x100")))
-    tx = r["sales_transactions"].select(F.col("id").alias("transaction_id"), "transaction_date",
-                                        F.col("total_cents").alias("tx_cents"))
-    in_window = ((F.col("transaction_date") >= _ts_of("start_date"))
-                 & (F.col("transaction_date") <= _ts_of("end_date")))
-    dated = (items.select("transaction_id", "product_id").join(links, "product_id")
-             .join(tx, "transaction_id").filter(in_window)
-             .groupBy("promo").agg(F.countDistinct("transaction_id").alias("n_tx"),
-                                   cents_avg("tx_cents").alias("aov")))
+    dated = _promoted_sales(r, links, ["product_id"], ["product_id"]).groupBy("promo").agg(
+        F.countDistinct("transaction_id").alias("n_tx"), cents_avg("tx_cents").alias("aov"))
     rev = F.col("rev").cast("double") / 100.0
     disc = F.col("disc_x100").cast("double") / 10000.0
     roi = F.when(F.col("disc_x100") > 0, round_half_up(
