@@ -12,8 +12,7 @@ Semantics follow the reference's second (effective) pass:
 * linear trend: least-squares line over x = 0..n-1 (closed form from exact
   integer sums);
 * exponential: EWM with alpha 0.3, ``adjust=False`` (e0 = y0,
-  e_t = 0.7 e_{t-1} + 0.3 y_t), carried by an ``aggregate`` over the
-  date-sorted series;
+  e_t = 0.7 e_{t-1} + 0.3 y_t), by a scan of blocks;
 * projections: h future days after the last date, no random noise (D7),
   floored at 0;
 * series with fewer than 7 days are skipped, as in the reference.
@@ -31,6 +30,8 @@ from storepulse.operators.common import Tables, product_dim, reuse, sold_lines,
 
 MIN_POINTS = 7
 ALPHA = 0.3
+BLOCK = 64  # points of a block of the exponential mean: 0.7 ** -64 stays far below a double's range
+GROUP = 16  # blocks whose sums are composed at once
 GROWTH_POINTS = 10
 GROWTH_CAP = 0.1
 
@@ -133,19 +134,45 @@ def forecast_linear_trend(series: DataFrame, scale: float = 100.0) -> DataFrame:
 
 
 def _ewm_cents(idx: DataFrame) -> DataFrame:
-    """Per series: date-sorted points and the EWM recurrence over them."""
-    pts = idx.groupBy("series_key").agg(
-        F.sort_array(F.collect_list(F.struct("x", "date", "value"))).alias("pts"))
-    init = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, p):
+    """The recurrence e = (1 - ALPHA) e' + ALPHA y over each series, as a scan
+    of blocks.
+
+    BLOCK points map the value before them to the one at their end by
+    e -> decay^BLOCK e + b, where b is the block's own sum from a start of 0.
+    A running sum composes the maps of the blocks of a group (GROUP blocks);
+    over a whole group the factor is 1e-159, so a group starts from the sum of
+    the group before it alone, what came earlier is far below a double's
+    precision.  With its start known every block is filled in by the
+    recurrence itself, so the first block has the loop's very values.  Rows
+    are clustered by series once, n points cost n steps, and no array is
+    longer than a block."""
+    decay = 1.0 - ALPHA
+    step = decay ** BLOCK
+    power = lambda k: F.pow(F.lit(step), k.cast("double"))
+    before = lambda *by: Window.partitionBy("series_key", *by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def then(e, p):
         y = p["value"].cast("double")
-        e = F.when(acc["e"].isNull(), y).otherwise(F.lit(1.0 - ALPHA) * acc["e"] + F.lit(ALPHA) * y)
+        return F.when(e.isNull(), y).otherwise(F.lit(decay) * e + F.lit(ALPHA) * y)
+
+    blocks = idx.groupBy("series_key", F.floor(F.col("x") / BLOCK).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("x", "date", "value"))).alias("pts"))  # BLOCK points at most
+    blocks = blocks.select("series_key", "block", "pts", (F.col("block") % GROUP).alias("j"), F.floor(F.col("block") / GROUP).alias("part"),
+                           F.aggregate("pts", F.lit(0.0), then).alias("b"))
+    inner = F.when(F.col("j") > 0, power(F.col("j") - 1) * F.sum(F.col("b") / power(F.col("j"))).over(before("part"))).otherwise(F.lit(0.0))
+    blocks = blocks.withColumn("inner", inner)
+    whole = F.when(F.col("j") == GROUP - 1, F.lit(step) * F.col("inner") + F.col("b"))
+    first = F.first(F.col("pts")[0]["value"].cast("double")).over(Window.partitionBy("series_key").orderBy("block"))
+    start = F.coalesce(F.last(whole, ignorenulls=True).over(before()), first)
+    blocks = blocks.withColumn("start", F.when(F.col("block") > 0, power(F.col("j")) * start + F.col("inner")))
+
+    def fill(acc, p):
+        e = then(acc["e"], p)
         return F.struct(e.alias("e"), F.concat(acc["out"], F.array(e)).alias("out"))
 
-    ew = pts.select("series_key", "pts", F.aggregate("pts", init, step)["out"].alias("fit"))
-    return (ew.select("series_key", F.inline(F.arrays_zip("pts", "fit")))
-            .select("series_key", "pts.x", "pts.date", "pts.value", "fit"))
+    init = F.struct(F.col("start").alias("e"), F.array().cast("array<double>").alias("out"))
+    filled = blocks.select("series_key", F.inline(F.arrays_zip("pts", F.aggregate("pts", init, fill)["out"].alias("fit"))))
+    return filled.select("series_key", "pts.x", "pts.date", "pts.value", "fit")
 
 
 def forecast_exponential(series: DataFrame, scale: float = 100.0) -> DataFrame:

@@ -238,3 +238,24 @@ def test_stream_update_mode_merges_across_epochs(spark, tmp_path):
     complete = sorted(map(tuple, live.stream_daily_dashboard(spark, folder).collect()))
     update = sorted(map(tuple, live.stream_daily_dashboard(spark, folder, "update", max_files_per_trigger=1).collect()))
     assert update == complete
+
+
+def test_exponential_mean_of_long_series_equals_the_loop(spark):
+    """10,000 days: block and group edges, zero stretches longer than a group,
+    short series beside it."""
+    import random
+    rng = random.Random(4)
+    value = [rng.choice([0, 5, 10_000, 123_456_789]) for _ in range(10_000)]
+    value[3000:5000] = [0] * 2000
+    all_values = {"long": value, "first": [10**12] + [0] * 1500, "seven": [7, -3, 100, 0, 0, 5, 9], "block": list(range(64)), "more": [9] * 65}
+    day = dt.date(1990, 1, 1)
+    data = [(k, day + dt.timedelta(days=i), v) for k, vs in all_values.items() for i, v in enumerate(vs)]
+    series = spark.createDataFrame(data, "series_key string, date date, value bigint").repartition(5)
+    got = {(x["series_key"], x["date"]): x["forecast"] for x in rows(forecast.forecast_exponential(series))}
+    for k, vs in all_values.items():
+        e = None
+        for i, v in enumerate(vs):
+            e = float(v) if e is None else 0.7 * e + 0.3 * v
+            assert abs(got[k, day + dt.timedelta(days=i)] - e / 100.0) <= 1e-4 + 1e-12 * abs(e), (k, i)
+    plan = forecast.forecast_exponential(series)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(series_key") == 1
