@@ -37,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ GRAMS = (100, 250, 350)  # bytes of an anchor: first for all texts, then for cro
 CROWD = 1024  # different pieces of a key that go into one shard
 SHARD = 1 << 20  # bytes after which a shard is closed
 SECTION = 1 << 20  # windows of a long text that are searched at once
+WINDOWS = 1 << 19  # sets the bytes of texts whose pieces are held at once: fewer where pieces are short
 HOTTEST = 10_000  # rows of a broadcast table
 BITS = 1 << 18  # 64-bit words of the text filter: 2 MB, whatever the number of texts
 _PLACES = (1 << 22) - 1  # lower bits of a hash that give way to its place in the buffer
@@ -133,8 +135,19 @@ def _digests(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 def cut(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """id1, id2, copies and pieces (columns of PIECES) of every text."""
 
-    def run(batches):
+    most = max(1 << 16, WINDOWS // 100 * min(length - gram + 1, 256))  # bytes of texts whose pieces are held at once
+
+    def slices(batches):
         for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(3)).to_numpy())
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+                yield batch.slice(a, b - a)
+                a = b
+
+    def run(batches):
+        for batch in slices(batches):
             raw = batch.column(3)
             found = {}
             for rows, shift, buf, ends in _sections(raw, length):
@@ -250,11 +263,25 @@ def _bytes_of(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted pieces (id1, id2, start, n and more) with their bytes."""
     rest = [c for c in wanted.columns if c not in ("id1", "id2")]
     lists = wanted.groupBy("id1", "id2").agg(F.collect_list(F.struct(*rest)).alias("list"))  # bounded by the text
-    raw = F.col("text").cast("binary")
-    joined = texts.select("id1", "id2", "text").join(lists, ["id1", "id2"])
-    taken = joined.select("id1", "id2", F.transform("list", lambda p: F.struct(
-        *[p[c].alias(c) for c in rest], F.substr(raw, (p["start"] + 1).cast("int"), (p["n"] + (length - 1)).cast("int")).alias("bytes"))).alias("list"))
-    return taken.select("id1", "id2", F.inline("list"))
+    joined = texts.select("id1", "id2", F.col("text").cast("binary").alias("text")).join(lists, ["id1", "id2"])
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            flat = column.flatten()
+            start, n = (flat.field(rest.index(c)).to_numpy() for c in ("start", "n"))
+            for a in range(0, len(row), 10_000):
+                part = slice(a, a + 10_000)
+                held = {k: memoryview(batch.column(2)[k].as_buffer()) for k in np.unique(row[part]).tolist()}
+                cut_ = [held[k][i:j].tobytes() for k, i, j in zip(row[part].tolist(), start[part].tolist(), (start + n + (length - 1))[part].tolist(), strict=True)]
+                at = pa.array(row[part])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), *[flat.field(k).slice(a, 10_000) for k in range(len(rest))], pa.array(cut_, pa.binary())],
+                    ["id1", "id2", *rest, "bytes"])
+
+    kinds = dict(wanted.dtypes)
+    return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ["id1", "id2", *rest]) + ", bytes binary")
 
 
 def find(texts: DataFrame, length: int, grams: tuple[int, ...], crowd: int, first: bool = True) -> DataFrame:
