@@ -3,18 +3,24 @@
 A block of ids is compressed in rounds.  A round counts all adjacent pairs,
 makes a nonterminal of each of the most frequent ones and replaces their
 occurrences from left to right; nonterminals take part in later rounds.  Rounds
-go on until no pair occurs ``FEWEST`` times.
+go on until no pair occurs ``FEWEST`` times, the number from which a rule saves
+more than it costs: 12 bytes (two symbols and a length of four bytes each)
+against two bytes an occurrence.
 Stored are the rules (two symbols each), every rule's expansion length and the
 remaining sequence, so a reader finds any token position from running sums of
 expansion lengths and expands only the symbols it needs.
 
+Texts are encoded where they lie; only their ids, two bytes each where the
+vocabulary allows, are shuffled into the shards.
+
 File format: one Parquet row per block of whole documents (columns of BLOCKS).
 Symbols below ``first`` are ids, the others are rules in order of creation;
 all numbers are little-endian.
 
 Null or empty texts are documents of the end id alone; rows that repeat a
-doc_id follow each other in text order and each get their own range; null
-doc_ids come first; an empty table gives an empty result.
+doc_id follow each other, in the order of their ids inside a shard, and each
+get their own range; null doc_ids come first; an empty table gives an empty
+result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ from storepulse.llm.common import written
 
 BLOCK = 1 << 20  # tokens after which a block is closed
 RULES = 3000  # new rules a round at most
-FEWEST = 12  # occurrences that make a pair frequent
+RULE = 12  # stored bytes of a rule
+FEWEST = RULE // 2 + 1  # occurrences that make a pair frequent
+SHARDS = 4096  # shards whose sizes are summed in one group
 _SLOTS = 17
 
-BLOCKS = ("shard int, block int, n_tokens long, first long, doc_ids binary, doc_lengths binary, "
+BLOCKS = ("shard long, block int, n_tokens long, first long, nulls long, doc_ids binary, doc_lengths binary, "
           "rules binary, rule_lengths binary, symbols binary, width int")
 
 
@@ -153,7 +161,7 @@ def decode_range(block: dict, start: int, end: int) -> np.ndarray:
     """Ids [start, end) of a block: only the symbols that cover them are expanded."""
     symbols = np.frombuffer(block["symbols"], f"<u{block['width']}")
     rules = np.frombuffer(block["rules"], "<u4").reshape(-1, 2)
-    lengths = np.frombuffer(block["rule_lengths"], "<i8")
+    lengths = np.frombuffer(block["rule_lengths"], "<u4").astype(np.int64)
     first = block["first"]
     ref = symbols.astype(np.int64) - first
     size = np.where(ref >= 0, lengths[np.maximum(ref, 0)], 1) if len(rules) else np.ones(len(symbols), np.int64)
@@ -163,26 +171,41 @@ def decode_range(block: dict, start: int, end: int) -> np.ndarray:
     return expand(symbols[a:b], rules, lengths, first)[start - before:end - before]
 
 
-def _block_row(shard: int, block: int, ids: list[bytes], doc_ids: list, first: int) -> list:
-    lengths = np.array([len(b) // 4 for b in ids], "<i8")
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def _block_row(shard: int, block: int, ids: list[np.ndarray], doc_ids: list, first: int) -> list:
+    lengths = np.array([len(b) for b in ids], "<i8")
+    flat = np.concatenate(ids).astype(np.uint32, copy=False)
     symbols, rules = compress(flat, first)
     width = 2 if first + len(rules) <= 1 << 16 else 4
-    packed = np.array([(1 << 63) - 1 if d is None else d for d in doc_ids], "<i8")
-    return [shard, block, len(flat), first, packed.tobytes(), lengths.tobytes(), rules.astype("<u4").tobytes(),
-            rule_lengths(rules, first).astype("<i8").tobytes(), symbols.astype(f"<u{width}").tobytes(), width]
+    nulls = sum(d is None for d in doc_ids)
+    packed = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    return [shard, block, len(flat), first, nulls, packed.tobytes(), lengths.tobytes(), rules.astype("<u4").tobytes(),
+            rule_lengths(rules, first).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(), width]
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, per_shard: int = 1024, end: int = tokens.END) -> DataFrame:
     """Blocks of compressed ids (columns of BLOCKS), shards in doc_id order."""
     path = vocabulary or tokens.default_vocabulary()
 
-    def run(batches):
+    def to_ids(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = tokens.encoder(path)
+        kind = "<u2" if max(encoder.size, end + 1) <= 1 << 16 else "<u4"
+        stop = np.array([end], kind).tobytes()
+        for batch in batches:
+            row = 0
+            for ids, counts in encoder.chunks(batch.column(2)):
+                raw = ids.astype(kind).tobytes()
+                ends = (np.cumsum(counts) * int(kind[2])).tolist()
+                part = [raw[a:b] + stop for a, b in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(row, len(part)) for k in (0, 1)), pa.array(part, pa.binary())], ["doc_id", "shard", "ids"])
+                row += len(part)
+
+    def to_blocks(batches):
         encoder = tokens.encoder(path)
         first = max(encoder.size, end + 1)
-        stop = np.array([end], "<u4").tobytes()
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("first", pa.int64()),
+        kind = "<u2" if first <= 1 << 16 else "<u4"
+        schema = pa.schema([("shard", pa.int64()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("first", pa.int64()), ("nulls", pa.int64()),
                             *[(n, pa.binary()) for n in ("doc_ids", "doc_lengths", "rules", "rule_lengths", "symbols")], ("width", pa.int32())])
 
         def row(*block):
@@ -190,48 +213,54 @@ def encode(docs: DataFrame, vocabulary: str | None = None, per_shard: int = 1024
 
         current, number, ids, doc_ids, held = None, 0, [], [], 0
         for batch in batches:
-            names = batch.column(2).to_pylist()
-            keys = batch.column(0).to_pylist()
-            for i, text_ids in enumerate(encoder.each(batch.column(1))):
-                if current is not None and (names[i] != current or held >= BLOCK):
+            keys, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, shard, raw in zip(keys, shards, batch.column(2).to_pylist(), strict=True):
+                if current is not None and (shard != current or held >= BLOCK):
                     yield row(current, number, ids, doc_ids)
-                    number = number + 1 if names[i] == current else 0
+                    number = number + 1 if shard == current else 0
                     ids, doc_ids, held = [], [], 0
-                current = names[i]
-                ids.append(text_ids + stop)
-                doc_ids.append(keys[i])
-                held += len(text_ids) // 4 + 1
+                current = shard
+                ids.append(np.frombuffer(raw, kind))
+                doc_ids.append(key)
+                held += len(ids[-1])
         if ids:
             yield row(current, number, ids, doc_ids)
 
-    return tokens.in_shard_order(docs, per_shard).select("doc_id", "text", "shard").mapInArrow(run, BLOCKS)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = tokens.sharded(named, per_shard).select("doc_id", "shard", "text").mapInArrow(to_ids, "doc_id long, shard long, ids binary")
+    dealt = ids.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    return dealt.mapInArrow(to_blocks, BLOCKS)
 
 
 def decode(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the blocks."""
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    across = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    starts = blocks.select("shard", "block", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    sized = written(blocks.select("shard", "block", "n_tokens"), "sizes")
+    shards = sized.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("many", F.floor(F.col("shard") / SHARDS))
+    groups = shards.groupBy("many").agg(F.sum("n").alias("m"))  # one row for SHARDS shards
+    groups = groups.select("many", so_far("m", before().orderBy("many")).alias("base"))
+    shards = shards.join(groups, "many").select("shard", (F.col("base") + so_far("n", before("many").orderBy("shard"))).alias("before"))
+    starts = sized.select("shard", "block", so_far("n_tokens", before("shard").orderBy("block")).alias("inside"))
     starts = starts.join(shards, "shard").select("shard", "block", (F.col("before") + F.col("inside")).alias("block_start"))
 
     def run(batches):
         for batch in batches:
             for b in batch.to_pylist():
                 ids = expand(np.frombuffer(b["symbols"], f"<u{b['width']}"), np.frombuffer(b["rules"], "<u4").reshape(-1, 2),
-                             np.frombuffer(b["rule_lengths"], "<i8"), b["first"])
+                             np.frombuffer(b["rule_lengths"], "<u4").astype(np.int64), b["first"])
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 lengths = np.frombuffer(b["doc_lengths"], "<i8")
                 doc_ids = np.frombuffer(b["doc_ids"], "<i8")
+                unnamed = np.arange(len(doc_ids)) < b["nulls"]
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=doc_ids == (1 << 63) - 1), pa.array(np.full(len(crc), b["shard"], np.int32)),
+                    [pa.array(doc_ids, mask=unnamed), pa.array(np.full(len(crc), b["shard"], np.int64)),
                      pa.array(np.full(len(crc), b["block"], np.int32)), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
                     ["doc_id", "shard", "block", "offset", "n_tokens", "ids_crc32"])
 
-    docs = blocks.mapInArrow(run, "doc_id long, shard int, block int, offset long, n_tokens long, ids_crc32 long")
+    docs = blocks.mapInArrow(run, "doc_id long, shard long, block int, offset long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["shard", "block"]).select(
         "doc_id", (F.col("block_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -40,30 +40,38 @@ def flat_blocks(docs: DataFrame, vocabulary: str | None = None, end: int = END,
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = tokens.encoder(path, plain=True)
+        encoder = tokens.encoder(path)
         width = 2 if max(encoder.size, end + 1) <= 1 << 16 else 4
-        stop = np.array([end], "<u4").tobytes()
         file = TaskContext.get().partitionId()
         held, size, names, block = [], 0, [], 0
 
         def row(ids, names):
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()),
+                [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
                  pa.array([width], pa.int32()), pa.array([names], pa.list_(pa.int64()))], ["file", "block", "ids", "width", "names"])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for name, ids in zip(keys, encoder.each(batch.column(1)), strict=True):
-                held.append(ids)
-                held.append(stop)
-                size += len(ids) // 4 + 1
-                names.append(name)
-                while size >= block_ids:
-                    flat = np.frombuffer(b"".join(held), "<u4")
-                    yield row(flat[:block_ids], names)
-                    held, size, names, block = [flat[block_ids:].tobytes()], size - block_ids, [], block + 1
+            keys, done = batch.column(0).to_pylist(), 0
+            for ids, counts in encoder.chunks(batch.column(1), plain=True):
+                stops = np.cumsum(counts)
+                flat = np.insert(ids, stops, end).astype(f"<u{width}")  # the separator behind every text
+                starts = stops - counts + np.arange(len(counts)) + size  # in the ids held and these
+                held.append(flat)
+                size += len(flat)
+                if size >= block_ids:
+                    whole = np.concatenate(held)
+                    full = len(whole) // block_ids
+                    of_block = np.searchsorted(starts, np.arange(1, full + 1) * block_ids).tolist()
+                    for k, (a, b) in enumerate(zip([0, *of_block], of_block, strict=False)):
+                        yield row(whole[k * block_ids:(k + 1) * block_ids], names + keys[done + a:done + b])
+                        names, block = [], block + 1
+                    held, size = [whole[full * block_ids:].copy()], len(whole) - full * block_ids
+                    names = keys[done + of_block[-1]:done + len(counts)]
+                else:
+                    names += keys[done:done + len(counts)]
+                done += len(counts)
         if size:
-            yield row(np.frombuffer(b"".join(held), "<u4"), names)
+            yield row(np.concatenate(held), names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "file long, block long, ids binary, width int, names array<bigint>")

@@ -1,5 +1,6 @@
 """Token ids equal the library's; the grammar files give them back."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -21,20 +22,56 @@ def library():
     return Tokenizer.from_file(tokens.default_vocabulary())
 
 
+@functools.cache
+def library_once():
+    return library()
+
+
 def test_ids_equal_the_library(spark):
     texts = ODD + [r["text"] for r in rows(read_table(spark, SF_SMALL, "documents"))]
     want = [np.array(e.ids, "<u4").tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
     coder = tokens.Encoder(tokens.default_vocabulary())
     for _ in range(2):  # unknown words, then remembered ones
-        assert list(coder.each(pa.array(texts), group=7)) == want
+        assert list(coder.each(pa.array(texts))) == want
 
 
-def test_forgetting_keeps_ids_right(monkeypatch):
-    monkeypatch.setattr(tokens, "WORDS", 5)
-    monkeypatch.setattr(tokens, "RUNS", 7)
-    texts = ["one two three four five six seven", "one eight nine ten", "two one eleven, twelve."] * 3
+def test_forgetting_keeps_ids_right_and_bytes_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 4000)
+    monkeypatch.setattr(tokens, "CHUNK", 30)
+    texts = ["one two three four five six seven", "one eight nine ten", "two one eleven, twelve."] * 3 + ["z" * 3000 + " " + "é" * 400] + ODD * 2
     want = [np.array(e.ids, "<u4").tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
-    assert list(tokens.Encoder(tokens.default_vocabulary()).each(pa.array(texts), group=1)) == want
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    assert list(coder.each(pa.array(texts))) == want
+    assert coder.remembered() <= 4000 and len(coder.young) + len(coder.old) > 4
+    assert not any(len(k) > tokens.LONGEST for part in (coder.young, coder.old) for k in part)
+
+
+def test_one_cache_of_bounded_bytes_for_both_kinds():
+    assert tokens.encoder(tokens.default_vocabulary()) is tokens.encoder(tokens.default_vocabulary())
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    words = pa.array([" ".join(f"{a}{b}{c}{d}x" for c in "abcdefghij" for d in "klmnopqrst") for a in "uvwxyz" for b in "abcdefghij"] * 2)
+    for plain in (False, True):
+        for _ in coder.chunks(words, plain):
+            pass
+    assert coder.remembered() <= tokens.CACHE
+
+
+def test_separator_strings_are_text_where_asked():
+    plain, special = library(), library()
+    plain.encode_special_tokens = True
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    texts = ["a <|endoftext|> b<|endoftext|>c", "<|EndOfText|> <|startoftext|>."] * 2
+    for _ in range(2):
+        for own, flag in ((special, False), (plain, True)):
+            want = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+            assert list(coder.each(pa.array(texts), flag)) == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZÉéß×÷ÿÀ.,' \n\t\u0301\u00a0\u0130漢<|>0ªµ"), max_size=12), max_size=6))
+def test_any_text_equals_the_library(texts):
+    want = [np.array(e.ids, "<u4").tobytes() for e in library_once().encode_batch(texts, add_special_tokens=False)] if texts else []
+    assert list(tokens.encoder(tokens.default_vocabulary()).each(pa.array(texts, pa.string()))) == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -46,7 +83,7 @@ def test_grammar_round_trip(ids, first, fewest):
     assert (repair.expand(symbols, rules, lengths, first) == ids).all()
     assert lengths.sum() >= 2 * len(rules) and len(symbols) <= len(ids)
     block = {"symbols": symbols.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(),
-             "rule_lengths": lengths.astype("<i8").tobytes(), "first": first, "width": 4}
+             "rule_lengths": lengths.astype("<u4").tobytes(), "first": first, "width": 4}
     for a in range(0, len(ids), 37):
         for b in range(a, len(ids) + 1, 53):
             assert (repair.decode_range(block, a, b) == ids[a:b]).all()
@@ -101,3 +138,21 @@ def test_awkward_and_empty(spark):
     assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
     assert rows(repair.round_trip(docs.limit(0))) == []
+
+
+def test_a_hot_id_has_several_shards(spark):
+    docs = documents(spark, [f"text {k}" for k in range(300)], ids=[7 if k % 3 else k for k in range(300)]).repartition(6)
+    got = sorted(rows(repair.round_trip(docs, per_shard=20)), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == 300 and ids == sorted(ids)
+    assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(300)]
+    shards = tokens.sharded(docs.select("doc_id", "text"), 20).where("doc_id = 7").select("shard").distinct().count()
+    assert shards >= 4
+
+
+def test_largest_ids_and_fine_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CUTS", 3)
+    ids = [2**63 - 1, -2**63, 0, None, *range(10, 90)]
+    docs = documents(spark, ["a b"] * len(ids), ids=ids)
+    got = sorted(rows(repair.round_trip(docs, per_shard=4)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, *sorted(i for i in ids if i is not None)]
