@@ -154,29 +154,6 @@ def test_basket_pairs_in_name_order_when_ids_are_not(spark):
         assert x["confidence"] == round(x["frequency"] / per_a[x["product_a"]] + 1e-12, 3)
 
 
-def test_huge_basket_block_path(monkeypatch):
-    rng = np.random.default_rng(7)
-    k = 40
-    pdf = pd.DataFrame({"transaction_id": np.r_[np.full(k, 1), np.full(3, 2)],
-                        "name_id": np.r_[np.arange(k), [0, 1, 2]],
-                        "c": rng.integers(1, 4, k + 3)})
-    small = basket._summed(list(basket._pair_parts(pdf))).set_index(["a", "b"])["w"].sort_index()
-    monkeypatch.setattr(basket, "PAIRS", 7)  # a basket is cut between rows, partial sums are handed on early
-    parts = list(basket._pair_parts(pdf))
-    assert len(parts) > 20 and max(map(len, parts)) <= max(k, 7 + k)
-    blocked = basket._summed(parts).set_index(["a", "b"])["w"].sort_index()
-    assert small.equals(blocked)
-    pdf = pdf.assign(pmin=pdf["name_id"], pmax=pdf["name_id"])
-    folded = basket._summed(list(basket._fold_partition(iter([pdf[:10], pdf[10:41], pdf[41:]]))))
-    folded = folded.set_index(["a", "b"])["w"].sort_index()
-    assert folded.pop((-1, -1)) == 2
-    assert small.equals(folded)
-    # brute force on expanded rows
-    exp = [[n for n, c in zip(g.name_id, g.c) for _ in range(c)] for _, g in pdf.groupby("transaction_id")]
-    brute = _brute_pairs(exp)
-    assert {k_: int(v) for k_, v in small.items()} == dict(brute)
-
-
 def test_category_share_and_dispatch(spark, retail):
     perf = rows(category.category_performance(retail, "2001-08-02", 2500))
     assert abs(sum(x["revenue_percentage"] for x in perf) - 100.0) < 0.05

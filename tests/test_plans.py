@@ -54,16 +54,13 @@ def test_bucketed_layout_joins_without_shuffle(spark, retail):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_basket_rows_are_aggregated_before_the_basket_shuffle(spark):
-    """The exchange that clusters rows by basket sits above the
-    per-(basket, name) aggregate, so raw item rows are never sent to their
-    basket's task."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        p = plan(queries()["frequently_bought_together"](spark, SF_SMALL))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    lines = p.splitlines()
-    at = next(i for i, s in enumerate(lines) if "REPARTITION_BY_COL" in s)
-    assert "HashAggregate(keys=[transaction_id" in lines[at + 1], "\n".join(lines[at - 2:at + 4])
-    assert "partial_count" in "\n".join(lines[at + 1:at + 5])
+def test_basket_rows_are_aggregated_before_products_and_baskets(spark, retail):
+    """Item rows are counted per (basket, product) before products are joined,
+    and per (basket, name) before they are clustered by basket."""
+    from storepulse.operators import basket
+    p = basket.basket_rows(retail, None)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x.strip(" :+-") for x in p.splitlines()]
+    counted = next(i for i, x in enumerate(lines) if x.startswith("Aggregate [transaction_id") and "product_id" in x.split("]")[0])
+    named = next(i for i, x in enumerate(lines) if x.startswith("Aggregate [transaction_id") and "name_id" in x.split("]")[0])
+    assert named < counted, p
+    assert any("sum(c" in x for x in lines[:counted]), p

@@ -21,24 +21,23 @@ baskets_strategy = st.lists(
 @settings(max_examples=40, deadline=None)
 @given(baskets_strategy)
 def test_fold_matches_brute_force(baskets):
-    """Numpy fold of (basket, name, count) == every position pair of the
-    name-sorted basket, for baskets that hold >= 2 distinct products."""
+    """Numpy pairs of (basket, name, count), the basket cut into one to three
+    blocks, == every position pair of the name-sorted basket."""
     rows = []
     for t, names in enumerate(baskets):
+        blocks = 1 + t % 3
         for n, c in Counter(names).items():
-            # product id = name id here, so distinct names == distinct products
-            rows.append((t, n, c, n, n))
-    pdf = pd.DataFrame(rows, columns=["transaction_id", "name_id", "c", "pmin", "pmax"])
-    out = pd.concat(list(basket._fold_partition(iter([pdf.iloc[:3], pdf.iloc[3:]]))))
-    got = {(int(a), int(b)): int(w) for a, b, w in out.itertuples(index=False) if a != basket.BASKETS_KEY}
-    total = int(out[out.a == basket.BASKETS_KEY].w.sum())
-    qualifying = [sorted(ns) for ns in baskets if len(set(ns)) >= 2]
+            rows += [(t, min(n % blocks, o), max(n % blocks, o), n % blocks, n, c) for o in range(blocks)]
+    pdf = pd.DataFrame(sorted(rows), columns=["transaction_id", "low", "high", "mine", "name_id", "c"])
+    got = Counter()
+    for a, b, w in basket._cells(iter([pdf.iloc[:3], pdf.iloc[3:]])):
+        for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+            got[x, y] += z
     brute = Counter()
-    for ns in qualifying:
-        for a, b in itertools.combinations(ns, 2):
-            brute[(a, b)] += 1
-    assert got == {k: v for k, v in brute.items() if v}
-    assert total == len(qualifying)
+    for names in baskets:
+        for pair in itertools.combinations(sorted(names), 2):
+            brute[pair] += 1
+    assert {k: v for k, v in got.items() if v} == dict(brute)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
