@@ -7,7 +7,8 @@ so each operator is one scan + one compact shuffle + small joins.
 The reference filters some LEFT JOINs with ``date >= x OR date IS NULL``
 after the join (D8).  That keeps a product when it has *no* fact rows at all
 or at least one recent row, and drops it when all its rows are old.  This is
-reproduced exactly with two per-product flags (any row / any recent row).
+reproduced exactly: the window is scanned for recent rows, and whether there is
+any row at all is a bitmap of product ids (`presence`).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from storepulse.functions.columns import as_ts, exact_avg, ratio, round_half_up, since, to_datetime
 from storepulse.operators.common import Tables, product_dim, sold_lines, top_k
+from storepulse.operators.presence import with_presence
 
 
 def _count_if(cond: Column) -> Column:
@@ -193,19 +195,17 @@ def supplier_performance(r: Tables, as_of, days: int = 30) -> DataFrame:
     mv = r["inventory_movements"]
     inbound = F.col("movement_type") == "inbound"
     is_recent = since("movement_date", as_of, days)
-    in_recent = inbound & is_recent
-    # one pass over the movements: recent delivery stats and the D8 flags
-    per_product = (mv.groupBy("product_id")
-                   .agg(_count_if(in_recent).alias("deliveries"),
-                        F.sum(F.when(in_recent, F.col("quantity")).otherwise(0)).alias("delivered"),
-                        F.sum(F.when(in_recent, F.col("quantity"))).alias("in_sum"),
-                        F.count(F.when(in_recent, F.col("quantity"))).alias("in_n"),
-                        F.max(F.when(in_recent, F.col("movement_date"))).alias("last_in"),
-                        F.max(F.when(is_recent, F.lit(1))).alias("recent")))
+    # only the window is scanned; whether there are older movements is a bitmap
+    per_product = (mv.filter(is_recent).groupBy("product_id")
+                   .agg(_count_if(inbound).alias("deliveries"),
+                        F.sum(F.when(inbound, F.col("quantity")).otherwise(0)).alias("delivered"),
+                        F.sum(F.when(inbound, F.col("quantity"))).alias("in_sum"),
+                        F.count(F.when(inbound, F.col("quantity"))).alias("in_n"),
+                        F.max(F.when(inbound, F.col("movement_date"))).alias("last_in")))
     prods = r["products"].select(F.col("id").alias("product_id"), "supplier_id")
     # product rows surviving the filter: with a recent movement, or with none at all
-    kept = (prods.join(per_product, "product_id", "left")
-            .filter(F.col("recent").isNotNull() | F.col("deliveries").isNull()))
+    kept = (with_presence(prods, r, "inventory_movements", "moved").join(per_product, "product_id", "left")
+            .filter(F.col("deliveries").isNotNull() | ~F.col("moved")))
     per_sup = (kept.groupBy("supplier_id")
                .agg(F.countDistinct("product_id").alias("products_supplied"),
                     F.coalesce(F.sum("deliveries"), F.lit(0)).cast("bigint").alias("delivery_count"),
@@ -240,6 +240,18 @@ def supplier_performance(r: Tables, as_of, days: int = 30) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R12
+def _items_dated(r: Tables, ok) -> DataFrame:
+    """product_id, quantity and transaction_date of item rows whose date
+    passes ``ok`` (which accepts a null date: rows without a transaction).
+    The canonical layout keeps the date on the rows, so this is a scan of the
+    window; the plain views have to ask the transactions."""
+    items = r["sales_transaction_items"]
+    if "transaction_date" not in items.columns:
+        tx = r["sales_transactions"].select(F.col("id").alias("transaction_id"), "transaction_date")
+        items = items.select("transaction_id", "product_id", "quantity").join(tx, "transaction_id", "left")
+    return items.filter(ok).select("product_id", "quantity", "transaction_date")
+
+
 def critical_inventory(r: Tables, as_of, days: int = 30) -> DataFrame:
     """Every active product with supplier contact, sales of the last
     ``days`` days (sum and mean quantity per item row), inbound/outbound
@@ -248,28 +260,22 @@ def critical_inventory(r: Tables, as_of, days: int = 30) -> DataFrame:
     (1 place) and a suggested order max(2 x reorder, 30 x mean).  Products
     whose sales (or movements) are all older than the window get NULLs from
     the reference's post-join filter (D8); products without any get 0."""
-    X = since("transaction_date", as_of, days)
-    items = r["sales_transaction_items"].select("transaction_id", "product_id", "quantity")
-    tx = r["sales_transactions"].select(F.col("id").alias("transaction_id"), "transaction_date")
-    il = items.join(tx, "transaction_id", "left")
-    ok = X | F.col("transaction_date").isNull()
-    sales = (il.groupBy("product_id")
-             .agg(F.sum(F.when(ok, F.col("quantity"))).alias("s_sum"),
-                  F.count(F.when(ok, F.col("quantity"))).alias("s_n"),
-                  F.max(F.when(ok, F.lit(1))).alias("s_keep")))
-    mv = r["inventory_movements"]
+    ok = since("transaction_date", as_of, days) | F.col("transaction_date").isNull()
+    sales = (_items_dated(r, ok).groupBy("product_id")
+             .agg(F.sum("quantity").alias("s_sum"), F.count("quantity").alias("s_n"), F.lit(True).alias("s_keep")))
     okm = since("movement_date", as_of, days) | F.col("movement_date").isNull()
     inbound, outbound = F.col("movement_type") == "inbound", F.col("movement_type") == "outbound"
-    moves = (mv.groupBy("product_id")
-             .agg(F.sum(F.when(okm & inbound, F.col("quantity")).otherwise(0)).alias("in30"),
-                  F.sum(F.when(okm & outbound, F.col("quantity")).otherwise(0)).alias("out30"),
-                  F.max(F.when(okm & inbound, F.col("movement_date"))).alias("last_restock_date"),
-                  F.max(F.when(okm, F.lit(1))).alias("m_keep")))
+    moves = (r["inventory_movements"].filter(okm).groupBy("product_id")
+             .agg(F.sum(F.when(inbound, F.col("quantity")).otherwise(0)).alias("in30"),
+                  F.sum(F.when(outbound, F.col("quantity")).otherwise(0)).alias("out30"),
+                  F.max(F.when(inbound, F.col("movement_date"))).alias("last_restock_date"),
+                  F.lit(True).alias("m_keep")))
     p = product_dim(r, active_only=True).join(_suppliers(r, "supplier"), "supplier_id", "left")
+    p = with_presence(with_presence(p, r, "sales_transaction_items", "sold"), r, "inventory_movements", "moved")
     p = p.join(sales, "product_id", "left").join(moves, "product_id", "left")
     # A product with fact rows but none recent is absent from the CTE -> NULLs
-    s_present = F.col("s_keep").isNotNull() | F.col("s_n").isNull()
-    m_present = F.col("m_keep").isNotNull() | F.col("in30").isNull()
+    s_present = F.col("s_keep").isNotNull() | ~F.col("sold")
+    m_present = F.col("m_keep").isNotNull() | ~F.col("moved")
     sales_30 = F.when(s_present, F.coalesce(F.col("s_sum"), F.lit(0)))
     avg_sales = F.when(s_present, F.coalesce(ratio(F.col("s_sum"), F.col("s_n")), F.lit(0.0)))
     stock, reorder, mx = F.col("current_stock"), F.col("reorder_level"), F.col("max_stock_level")
@@ -302,19 +308,14 @@ def restock_recommendations(r: Tables, as_of, days_ahead: int = 30) -> DataFrame
     Products whose sales are all older than 28 days drop out (D8)."""
     now = to_datetime(as_of)
     recent_start, prev_start = as_ts(now - _dt.timedelta(days=14)), as_ts(now - _dt.timedelta(days=28))
-    items = r["sales_transaction_items"].select("transaction_id", "product_id", "quantity")
-    tx = r["sales_transactions"].select(F.col("id").alias("transaction_id"), "transaction_date")
     ts = F.col("transaction_date")
-    ok = (ts >= prev_start) | ts.isNull()
-    il = items.join(tx, "transaction_id", "left")
-    per = (il.groupBy("product_id")
-           .agg(exact_avg(F.when(ok & (ts >= recent_start), F.col("quantity"))).alias("recent"),
-                exact_avg(F.when(ok & (ts >= prev_start) & (ts < recent_start), F.col("quantity"))).alias("previous"),
-                F.max(F.when(ok, F.lit(1))).alias("keep")))
-    p = product_dim(r, active_only=True).join(per, "product_id", "left")
-    # keep = product with a recent row, or with no item rows at all
-    p = p.join(items.select("product_id").distinct().withColumn("sold_ever", F.lit(True)), "product_id", "left")
-    p = p.filter(F.col("keep").isNotNull() | F.col("sold_ever").isNull())
+    per = (_items_dated(r, (ts >= prev_start) | ts.isNull()).groupBy("product_id")
+           .agg(exact_avg(F.when(ts >= recent_start, F.col("quantity"))).alias("recent"),
+                exact_avg(F.when((ts >= prev_start) & (ts < recent_start), F.col("quantity"))).alias("previous"),
+                F.lit(True).alias("keep")))
+    # a product with a recent row, or with no item rows at all
+    p = with_presence(product_dim(r, active_only=True), r, "sales_transaction_items", "sold").join(per, "product_id", "left")
+    p = p.filter(F.col("keep").isNotNull() | ~F.col("sold"))
     demand = F.coalesce(F.col("recent"), F.col("previous"), F.lit(1.0))
     stock = F.col("current_stock")
     trend = (F.when(F.col("recent") > F.col("previous") * 1.2, "INCREASING")

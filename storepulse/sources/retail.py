@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from storepulse.operators.presence import STORED, bitmap_of
+
 RETAIL_TABLES = (
     "sales_transactions",
     "sales_transaction_items",
@@ -199,6 +201,7 @@ def materialize_retail(tables: dict[str, DataFrame], out_dir: str, partitions: i
     * item rows carry their transaction's date (denormalised), so the big
       item scan is pruned by the same window before the join;
     * item rows without a transaction stay, with a null date;
+    * the products that occur in a fact at all are kept as a bitmap beside it;
     * with ``buckets=n`` and a ``table_prefix`` transactions and items are
       instead written as bucketed tables ``<table_prefix>_<name>`` (n buckets
       on the transaction id, each sorted by date): the item/transaction join
@@ -216,6 +219,8 @@ def materialize_retail(tables: dict[str, DataFrame], out_dir: str, partitions: i
         tx.select(F.col("id").alias("transaction_id"), "transaction_date"), "transaction_id", "left")
     prepared = dict(tables)
     prepared["sales_transaction_items"] = dated_items
+    # one bitmap of product ids per fact, see operators.presence
+    prepared.update({STORED[fact]: bitmap_of(tables[fact]) for fact in STORED})
     out = {}
     for name, df in prepared.items():
         date_col = DATE_COLUMNS.get(name)
@@ -237,4 +242,4 @@ def load_retail(spark: SparkSession, folder: str, table_prefix: str | None = Non
     """Read tables written by ``materialize_retail``; with its
     ``table_prefix`` the bucketed ones as tables, so their buckets are used."""
     return {name: spark.table(f"{table_prefix}_{name}") if table_prefix and name in BUCKET_KEYS
-            else spark.read.parquet(f"{folder}/{name}") for name in RETAIL_TABLES}
+            else spark.read.parquet(f"{folder}/{name}") for name in (*RETAIL_TABLES, *STORED.values())}
