@@ -17,12 +17,16 @@ from storepulse.operators.common import Tables, product_dim, reuse, sold_lines,
 def _category_performance(r: Tables, window: Column) -> DataFrame:
     lines = sold_lines(r, window).select("transaction_id", "product_id", "quantity", "total_cents")
     cats = product_dim(r).select("product_id", "category_id", "category")
-    per_cat = (lines.join(cats, "product_id")
-               .groupBy("category_id", "category")
-               .agg(F.countDistinct("transaction_id").alias("total_transactions"),
-                    F.sum("quantity").alias("total_items_sold"),
-                    F.sum("total_cents").alias("cents"),
-                    exact_avg("quantity").alias("avg_qty")))
+    sums = [F.sum(c).alias(c) for c in ("quantity", "total_cents", "n")]
+    # one row per (transaction, product) before categories are joined, one per
+    # (transaction, category) after, so transactions are counted, not collected
+    sold = (lines.groupBy("transaction_id", "product_id")
+            .agg(F.sum("quantity").alias("quantity"), F.sum("total_cents").alias("total_cents"), F.count("quantity").alias("n"))
+            .join(cats, "product_id").groupBy("category_id", "category", "transaction_id").agg(*sums))
+    per_cat = (sold.groupBy("category_id", "category")
+               .agg(F.count("transaction_id").alias("total_transactions"),
+                    F.sum("quantity").alias("total_items_sold"), F.sum("total_cents").alias("cents"),
+                    ratio(F.sum("quantity"), F.sum("n")).alias("avg_qty")))
     # the share window runs over one row per category
     grand = F.sum("cents").over(Window.partitionBy())
     return (per_cat.select(

@@ -17,7 +17,7 @@ from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, cents_sum, day_range, exact_avg, ratio,
     round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, items_in, product_dim, reuse, sold_lines, top_k, transactions
+from storepulse.operators.common import Tables, items_in, product_dim, sold_lines, top_k, transactions
 
 
 # ---------------------------------------------------------------- M1 / M2 / M12
@@ -111,16 +111,23 @@ def product_sales_trends(r: Tables, as_of, days: int = 30, limit: int = 10) -> D
     groups by total quantity.  Daily rows are joined back on the product
     *name only*, as the reference does (D9): a top name that also exists in
     another category brings that category's days along."""
-    lines = sold_lines(r, since("transaction_date", as_of, days))
-    daily_pid = (lines.groupBy("product_id", F.to_date("transaction_date").alias("sale_date"))
-                 .agg(F.sum("quantity").alias("daily_quantity"),
-                      F.sum("total_cents").alias("daily_cents")))
-    daily = reuse(daily_pid.join(product_dim(r).select("product_id", "product_name", "category"), "product_id"))
+    lines = sold_lines(r, since("transaction_date", as_of, days)).select("product_id", "transaction_date", "quantity", "total_cents")
+    dim = product_dim(r).select("product_id", "product_name", "category")
+    rank = [F.col("total_quantity").desc(), F.col("product_name").asc(), F.col("category").asc()]
+    # the ranking needs one row per product only
+    ranked = top_k(lines.groupBy("product_id").agg(F.sum("quantity").alias("q")).join(dim, "product_id")
+                   .groupBy("product_name", "category").agg(F.sum("q").alias("total_quantity")), rank, limit)
+    # days are kept for products of the ranked names alone
+    names = F.broadcast(ranked.select("product_name").distinct())  # limit rows at most
+    some = dim.join(names, "product_name", "left_semi")
+    daily = (lines.join(some, "product_id")
+             .groupBy("product_id", "product_name", "category", F.to_date("transaction_date").alias("sale_date"))
+             .agg(F.sum("quantity").alias("daily_quantity"), F.sum("total_cents").alias("daily_cents")))
     totals = (daily.groupBy("product_name", "category")
               .agg(F.sum("daily_quantity").alias("total_quantity"),
                    exact_avg("daily_quantity").alias("avg_daily_quantity"),
                    F.countDistinct("sale_date").alias("days_with_sales")))
-    top = top_k(totals, [F.col("total_quantity").desc(), F.col("product_name").asc(), F.col("category").asc()], limit)
+    top = top_k(totals, rank, limit)
     return (daily.join(top.select("product_name", "total_quantity", "avg_daily_quantity", "days_with_sales"),
                        "product_name")
             .select("product_name", "category", "sale_date", "daily_quantity",
