@@ -39,8 +39,8 @@ def default_period_type(days: int, purpose: str = "save") -> str:
     return "day" if days <= 90 else "week"
 
 
-def _bucket(period_type: str):
-    ts = F.col("transaction_date")
+def _bucket(period_type: str, column: str = "transaction_date"):
+    ts = F.col(column)
     if period_type == "hour":
         return F.date_trunc("hour", ts).cast("timestamp_ntz"), "INTERVAL 1 HOUR"
     if period_type in ("week", "month"):  # pandas W-MON: Tue..Mon, labelled by the Monday
@@ -70,6 +70,12 @@ def customer_traffic(r: Tables, as_of, period_type: str = "day", start=None, end
                 .agg(F.countDistinct("transaction_id").alias("n"),
                      F.sum("quantity").alias("q"),
                      F.sum("total_cents").alias("c")))
+    return filled(agg, period_type, step)
+
+
+def filled(agg: DataFrame, period_type: str, step: str) -> DataFrame:
+    """M16's rows from the busy buckets (transaction_date, n, q, c): empty
+    buckets between the first and the last, position and label."""
     spine = (agg.agg(F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi"))
              .filter(F.col("lo").isNotNull())
              .select("lo", F.explode(F.sequence("lo", "hi", F.expr(step))).alias("transaction_date")))

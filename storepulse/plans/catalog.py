@@ -208,6 +208,31 @@ simple("forecast_quality", lambda r: FC.forecast_quality(_cat_series(r), "moving
 simple("avg_items_trendline",
        lambda r: FC.avg_items_trendline(S.avg_items_per_transaction(r, P.AS_OF, P.FULL_DAYS)))
 
+# ---------------------------------------------------------------- the same forms from stored hourly cells
+from storepulse.operators import cells as HC  # noqa: E402
+
+
+def _cells(spark, sf_dir):
+    """Cells of all facts, written to the shared folder and read back."""
+    from storepulse.session import shared_dir as folder_for
+    r, folder = _r(spark, sf_dir), folder_for(spark, "hour-cells")
+    HC.store(r, folder)
+    return HC.HourCells(r, spark.read.parquet(folder))
+
+
+CELL_FORMS = {
+    "sales_trend": lambda c: HC.sales_trend(c.since(P.AS_OF, P.FULL_DAYS)),
+    "sales_trend_range": lambda c: HC.sales_trend(c.window(P.RANGE_START, P.RANGE_END)),
+    "peak_shopping_hours": lambda c: HC.peak_shopping_hours(c.since(P.AS_OF, P.FULL_DAYS)),
+    "avg_items_per_transaction": lambda c: HC.avg_items_per_transaction(c.since(P.AS_OF, P.FULL_DAYS)),
+    "avg_items_per_transaction_range": lambda c: HC.avg_items_per_transaction(c.window(P.RANGE_START, P.RANGE_END)),
+    "monthly_sales": lambda c: HC.monthly_sales(c.since(P.AS_OF, P.FULL_DAYS)),
+    **{f"customer_traffic_{t}": (lambda c, t=t: HC.customer_traffic(c, P.AS_OF, t, P.HISTORY_START, P.HISTORY_END))
+       for t in ("hour", "day", "week", "month")},
+}
+for _form, _build in CELL_FORMS.items():
+    QUERIES[f"cells_{_form}"] = lambda spark, sf_dir, _build=_build: _build(_cells(spark, sf_dir))
+
 # ---------------------------------------------------------------- streaming (closed input, availableNow)
 from storepulse.streaming import live as ST  # noqa: E402
 
