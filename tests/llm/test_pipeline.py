@@ -1,9 +1,14 @@
 """Registration, and the pipeline stage by stage."""
 
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from oracles.compare import compare, duck
-from storepulse.llm import mixing
+from storepulse.llm import mixing, tokens
 from storepulse.llm.common import read_table
 from storepulse.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF_SMALL
@@ -13,7 +18,23 @@ from tests.llm.helpers import awkward, prose, rows
 def test_registered():
     names = set(queries())
     assert set(QUERIES) | {"pipeline"} <= names and set(ORACLES) <= set(oracle_sql())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_run_chains_all_stages(spark):
+    """What is left of the documents after four stages is tokenised whole, at
+    most twice each, in ascending doc_id order, without gaps."""
+    docs = {r["doc_id"]: r["text"] for r in rows(read_table(spark, SF_SMALL, "documents"))}
+    out = sorted(rows(corpus_pipeline.run(spark, SF_SMALL)), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in out]
+    assert ids == sorted(ids) and 0 < len(set(ids)) < len(docs) and set(ids) <= set(docs)
+    assert max(ids.count(i) for i in set(ids)) <= 2
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    at = 0
+    for r in out:
+        want = np.array(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids + [2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(want), zlib.crc32(want.tobytes()))
+        at += len(want)
 
 
 def test_minhash_query_matches_its_sql(spark):
