@@ -8,6 +8,7 @@ document is a chunk of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,6 +31,19 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~SPACE
 
 
+#: glibc's malloc_trim, where there is one
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system.  Arrays of some megabytes come and
+    go with every batch, and a worker that serves many tasks would otherwise
+    keep the most that any of them ever held."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class Chunk(NamedTuple):
     first: int  # row of the batch at which it begins
     buf: np.ndarray  # uint8, the texts one after another
@@ -56,6 +70,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:
         j = min(max(j, i + 1), n)
         yield Chunk(i, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
         i = j
+    if offs[-1] - offs[0] > limit:
+        give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
