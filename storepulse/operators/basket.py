@@ -22,6 +22,10 @@ distinct products, are stored once and read by two passes:
 * the second counts exactly, and only pairs whose hashed count reaches the
   least frequency leave a task.  Hash collisions only let more pairs through.
 
+Shuffles of item rows, cells and pairs have a number of partitions in
+proportion to their rows, so a task's sorts and hash tables do not grow with
+the input.
+
 A basket is cut into cells: its names are dealt to blocks of about ``WIDE``,
 and a cell (basket, block, block) pairs two blocks, so a basket of any width
 spreads over tasks.  Pairs are computed, and partial counts held, a bounded
@@ -38,12 +42,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.functions.columns import between_ts, round_half_up, since
-from storepulse.operators.common import Tables, reuse, sold_lines, top_k
+from storepulse.operators.common import Tables, line_parts, lines_by_transaction, parts_for, reuse, top_k
 
 PAIR_SCHEMA = "a long, b long, w long"
-PAIRS = 1 << 20  # pairs computed, and partial sums held, at once
+PAIRS = 1 << 17  # pairs computed, and partial sums held, at once
 WIDE = 1024  # names of a block of a basket
 BUCKETS = 1 << 22  # hashed counts: 4 MB a task, a broadcast of 512 KB
+SPREAD = 4  # partitions of pairs per partition of cells
 SLICE = 1 << 14  # hashed counts that are merged at once
 _CAP = 255  # a hashed count is a byte; enough to compare with a least frequency below that
 
@@ -184,28 +189,29 @@ def _name_ids(r: Tables) -> DataFrame:
 def basket_rows(r: Tables, window: Column | None) -> DataFrame:
     """transaction_id, name_id, c and blocks (of the basket) of baskets with at
     least two distinct products."""
-    lines = sold_lines(r, window).select("transaction_id", "product_id")
+    parts = line_parts(r, window)
+    lines = lines_by_transaction(r, window, parts).select("transaction_id", "product_id")
     prod = r["products"].select(F.col("id").alias("product_id"), "name").join(_name_ids(r), "name").drop("name")
     # item rows are reduced to (basket, product) -> count with map-side partial
     # aggregation before products are joined, so no raw item row meets one
     per_name = (lines.groupBy("transaction_id", "product_id").agg(F.count(F.lit(1)).alias("c"))
-                .join(prod, "product_id")
+                .join(prod, "product_id").repartition(parts, "transaction_id")
                 .groupBy("transaction_id", "name_id")
                 .agg(F.sum("c").alias("c"), F.min("product_id").alias("pmin"), F.max("product_id").alias("pmax")))
-    baskets = per_name.groupBy("transaction_id").agg(
-        F.min("pmin").alias("lo"), F.max("pmax").alias("hi"), F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks"))
-    return per_name.join(baskets.filter("lo <> hi").select("transaction_id", "blocks"), "transaction_id").select(
-        "transaction_id", "name_id", "c", "blocks")
+    basket = Window.partitionBy("transaction_id")  # the partitioning at hand
+    return (per_name.select("transaction_id", "name_id", "c", F.min("pmin").over(basket).alias("lo"), F.max("pmax").over(basket).alias("hi"),
+                            F.ceil(F.count(F.lit(1)).over(basket) / WIDE).cast("int").alias("blocks"))
+            .filter("lo <> hi").select("transaction_id", "name_id", "c", "blocks"))
 
 
-def cells_of(rows: DataFrame) -> DataFrame:
+def cells_of(rows: DataFrame, *parts: int) -> DataFrame:
     """Basket rows dealt to the cells (transaction_id, low, high) of their
-    block, cell by cell."""
+    block, cell by cell (in a number of partitions, if given)."""
     rows = rows.withColumn("mine", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("name_id"), F.col("blocks"))).otherwise(0).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["transaction_id", "low", "high"]
     return (rows.select("transaction_id", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "name_id", "c")
-            .repartition(*key).sortWithinPartitions(*key, "mine"))
+            .repartition(*parts, *key).sortWithinPartitions(*key, "mine"))
 
 
 def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20, min_frequency: int = 3,
@@ -214,9 +220,11 @@ def frequently_bought_together_where(r: Tables, window: Column, limit: int = 20,
     byte, so a least frequency beyond 255 is compared with 255 in pass 1."""
     ids = _name_ids(r)
     rows = reuse(basket_rows(r, window))  # read by both passes and the count of baskets
-    cells = cells_of(rows)
+    parts = parts_for(rows.sparkSession, rows.agg(F.sum("blocks")).first()[0] or 0)  # a row is in as many cells
+    cells = cells_of(rows, parts)
     bits = possible_pairs(cells, min(min_frequency, _CAP), buckets) if min_frequency > 1 else None
-    frequent = pair_counts(cells, bits, buckets).groupBy("a", "b").agg(F.sum("w").alias("frequency"))
+    sums = pair_counts(cells, bits, buckets).repartition(SPREAD * parts, "a", "b")  # summed in the tasks before
+    frequent = sums.groupBy("a", "b").agg(F.sum("w").alias("frequency"))
     n_baskets = rows.agg(F.count_distinct("transaction_id").alias("frequency"))  # one row
     total = n_baskets.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "frequency", F.lit(1).alias("is_total"))
     kept = frequent.filter(F.col("frequency") >= min_frequency).withColumn("is_total", F.lit(0)).unionByName(total)

@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, exact_avg, ratio, round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, product_dim, reuse, sold_lines, top_k
+from storepulse.operators.common import Tables, line_parts, lines_by_transaction, product_dim, reuse, sold_lines, top_k
 
 
 # ---------------------------------------------------------------- A13
 def _category_performance(r: Tables, window: Column) -> DataFrame:
-    lines = sold_lines(r, window).select("transaction_id", "product_id", "quantity", "total_cents")
+    parts = line_parts(r, window)
+    lines = lines_by_transaction(r, window, parts).select("transaction_id", "product_id", "quantity", "total_cents")
     cats = product_dim(r).select("product_id", "category_id", "category")
     sums = [F.sum(c).alias(c) for c in ("quantity", "total_cents", "n")]
     # one row per (transaction, product) before categories are joined, one per
     # (transaction, category) after, so transactions are counted, not collected
     sold = (lines.groupBy("transaction_id", "product_id")
             .agg(F.sum("quantity").alias("quantity"), F.sum("total_cents").alias("total_cents"), F.count("quantity").alias("n"))
-            .join(cats, "product_id").groupBy("category_id", "category", "transaction_id").agg(*sums))
+            .join(cats, "product_id").repartition(parts, "transaction_id")
+            .groupBy("category_id", "category", "transaction_id").agg(*sums))
     per_cat = (sold.groupBy("category_id", "category")
                .agg(F.count("transaction_id").alias("total_transactions"),
                     F.sum("quantity").alias("total_items_sold"), F.sum("total_cents").alias("cents"),
@@ -102,8 +104,8 @@ SORT_COLUMNS = {"total_sold": "total_sold", "total_revenue": "total_revenue",
 
 def _product_ranking(r: Tables, window: Column, category, limit: int, metric: str,
                      midpoint=None) -> DataFrame:
-    lines = sold_lines(r, window).select("transaction_id", "product_id", "quantity", "unit_cents",
-                                         "total_cents", "transaction_date")
+    lines = lines_by_transaction(r, window, line_parts(r, window)).select(
+        "transaction_id", "product_id", "quantity", "unit_cents", "total_cents", "transaction_date")
     dim = product_dim(r, active_only=True).select("product_id", "product_name", "category")
     if category and category != "All Categories":
         dim = dim.filter(F.col("category") == F.lit(category))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tables = dict  # name -> DataFrame, see storepulse.sources.retail
 
+TASK_ROWS = 500_000  # rows that a task sorts or aggregates without a reduction
+
 
 def transactions(r: Tables, window: Column | None = None) -> DataFrame:
     tx = r["sales_transactions"]
@@ -26,6 +28,28 @@ def sold_lines(r: Tables, window: Column | None = None) -> DataFrame:
     return items_in(r, window).join(tx, "transaction_id")
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions of a shuffle of so many rows: one a core, or more, so that a
+    task's share does not grow with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def line_parts(r: Tables, window: Column | None = None) -> int:
+    """``parts_for`` of the item rows that are read for a window; on the plain
+    views they are counted without reading a column."""
+    items = items_in(r, window)
+    return parts_for(items.sparkSession, items.count())
+
+
+def lines_by_transaction(r: Tables, window: Column | None, parts: int) -> DataFrame:
+    """``sold_lines`` dealt by transaction to ``parts`` partitions.  For
+    aggregates with about a group per line (a product of a transaction), whose
+    hash tables hold a task's whole share."""
+    tx = transactions(r, window).select(
+        F.col("id").alias("transaction_id"), "transaction_date", F.col("total_cents").alias("tx_cents"))
+    return items_in(r, window).repartition(parts, "transaction_id").join(tx.repartition(parts, "transaction_id"), "transaction_id")
+
+
 def items_in(r: Tables, window: Column | None = None) -> DataFrame:
     """Item rows that can belong to transactions of the window: pruned by
     the date that the canonical layout keeps on them, all of them on the

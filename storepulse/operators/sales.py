@@ -17,7 +17,9 @@ from storepulse.functions.columns import (
     as_ts, between_ts, cents_avg, cents_sum, day_range, exact_avg, ratio,
     round_half_up, since, to_datetime,
 )
-from storepulse.operators.common import Tables, items_in, product_dim, sold_lines, top_k, transactions
+from storepulse.operators.common import (
+    Tables, items_in, line_parts, lines_by_transaction, product_dim, sold_lines, top_k, transactions,
+)
 
 
 # ---------------------------------------------------------------- M1 / M2 / M12
@@ -73,8 +75,8 @@ def peak_shopping_hours(r: Tables, as_of, days: int = 7) -> DataFrame:
 def _product_sales(lines: DataFrame) -> DataFrame:
     """One row per product: quantity, revenue, distinct transactions, mean
     unit price.  The distinct count is planned inside the partitioning of
-    the item/transaction join (keyed by transaction), so only one compact
-    per-(product, transaction) shuffle follows."""
+    the lines (dealt by transaction), so only one compact per-product shuffle
+    follows."""
     return (lines.groupBy("product_id")
             .agg(F.sum("quantity").alias("qty"),
                  cents_sum("total_cents").alias("revenue"),
@@ -85,7 +87,8 @@ def _product_sales(lines: DataFrame) -> DataFrame:
 def top_selling_products(r: Tables, as_of, limit: int = 10, days: int = 30) -> DataFrame:
     """M5: top ``limit`` products by quantity in the trailing window
     (ties broken by product id)."""
-    agg = _product_sales(sold_lines(r, since("transaction_date", as_of, days)))
+    window = since("transaction_date", as_of, days)
+    agg = _product_sales(lines_by_transaction(r, window, line_parts(r, window)))
     ranked = agg.join(product_dim(r).select("product_id", "product_name", "category"), "product_id")
     return top_k(ranked, [F.col("qty").desc(), F.col("product_id").asc()], limit).select(
         "product_name", "category",
