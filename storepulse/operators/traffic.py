@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storepulse.functions.columns import between_ts, round_half_up, to_datetime, week_closing_monday
-from storepulse.operators.common import Tables, items_in, reuse, transactions
+from storepulse.operators.common import Tables, items_in, line_parts, reuse, transactions
 
 DEFAULT_SPANS = {"hour": _dt.timedelta(days=1), "day": _dt.timedelta(days=7), "week": _dt.timedelta(weeks=4)}
 OTHER_SPAN = _dt.timedelta(weeks=8)
@@ -61,8 +61,9 @@ def customer_traffic(r: Tables, as_of, period_type: str = "day", start=None, end
     start, end = traffic_bounds(as_of, period_type, start, end)
     bucket, step = _bucket(period_type)
     window = between_ts("transaction_date", start, end)
-    tx = transactions(r, window).select(F.col("id").alias("transaction_id"), "transaction_date")
-    items = items_in(r, window).select("transaction_id", "quantity", "total_cents")
+    parts = line_parts(r, window)  # distinct transactions are counted inside the partitions of the join
+    tx = transactions(r, window).select(F.col("id").alias("transaction_id"), "transaction_date").repartition(parts, "transaction_id")
+    items = items_in(r, window).select("transaction_id", "quantity", "total_cents").repartition(parts, "transaction_id")
     # one row per busy bucket; read twice (bounds of the spine, then the
     # gap-filling join), so it is materialised once
     agg = reuse(tx.join(items, "transaction_id", "left")

@@ -30,6 +30,17 @@ def test_lines_are_dealt_by_number(spark, retail, monkeypatch, key):
     assert not any("Aggregate" in x for x in lines[max(k for k in dealt if k < scan):scan])
 
 
+def test_traffic_is_dealt_by_number(spark, retail, monkeypatch):
+    """The rows whose distinct transactions the manager report counts."""
+    from storepulse.operators import traffic
+    held = []
+    monkeypatch.setattr(common, "TASK_ROWS", 250)
+    monkeypatch.setattr(traffic, "reuse", lambda df: held.append(plan(df)) or common.reuse(df))
+    traffic.customer_traffic(retail, "2001-08-02", "day", "1995-01-01", "2001-08-01")
+    n = -(-retail["sales_transaction_items"].count() // 250)
+    assert held[0].count(f", {n}), REPARTITION_BY_NUM") == 2
+
+
 def test_a_task_s_share_of_lines(spark, retail, monkeypatch):
     monkeypatch.setattr(common, "TASK_ROWS", 250)
     parts = common.line_parts(retail)
