@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storepulse.operators import sales as S
 from storepulse.plans import params as P
-from storepulse.sources.retail import cache_dimensions, retail_tables
+from storepulse.sources.retail import RETAIL_TABLES, cache_dimensions, retail_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -285,7 +285,7 @@ def _counts(spark, sf_dir):
     r = _r(spark, sf_dir)
     return _reduce(lambda a, b: a.unionByName(b), [
         df.agg(_F.count(_F.lit(1)).alias("row_count")).select(_F.lit(name).alias("table_name"), "row_count")
-        for name, df in r.items()])
+        for name, df in ((t, r[t]) for t in RETAIL_TABLES)])
 
 
 simple("schema_profile", TB.schema_profile)
