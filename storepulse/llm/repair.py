@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storepulse.llm import tokens
-from storepulse.llm.common import written
+from storepulse.llm.common import small_batches, written
 
 BLOCK = 1 << 20  # tokens after which a block is closed
 RULES = 3000  # new rules a round at most
@@ -269,7 +269,8 @@ def round_trip(docs: DataFrame, path: str | None = None, **options) -> DataFrame
     """Write the files (to ``path``, or a new folder in the shared one), read
     them back and digest every document."""
     blocks = encode(docs, **options)
-    if path is None:
-        return decode(written(blocks, "tokens"))
-    blocks.write.parquet(path)
-    return decode(docs.sparkSession.read.parquet(path))
+    with small_batches(docs.sparkSession):
+        if path is None:
+            return decode(written(blocks, "tokens"))
+        blocks.write.parquet(path)
+        return decode(docs.sparkSession.read.parquet(path))

@@ -34,7 +34,7 @@ CACHE = 64 << 20  # bytes of remembered pieces per worker, both generations
 NOTED = 1 << 22  # bytes of the table of hashes that were new once
 LONGEST = 200  # bytes of a piece that is remembered
 ENTRY = 200  # bytes of an entry beside its piece and ids: two objects and a dict slot
-CHUNK = 4 << 20  # bytes of text that are encoded at once
+CHUNK = 2 << 20  # bytes of text that are encoded at once
 MOST_CUTS = 10_000  # numbers that are broadcast to deal documents to shards
 
 _SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
@@ -89,10 +89,12 @@ def _pieces(buf: np.ndarray, offs: np.ndarray):
         begin[inside] = False
         begin[odd] = True
     at = np.flatnonzero(begin)
+    del kind, begin  # so that the most memory is needed here, not twice as much
     seen = np.cumsum(keep, dtype=np.int32)
     offsets = np.empty(len(at) + 1, np.int32)
     offsets[:-1] = seen[at] - 1
     offsets[-1] = seen[-1] if n else 0
+    del seen
     is_plain = np.ones(len(at), bool)
     is_plain[np.searchsorted(at, odd)] = False
     return folded[keep], offsets, is_plain, np.searchsorted(at, offs, "left")
@@ -177,12 +179,14 @@ class Encoder:
                 continue
             words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(compact)])
             coded = words.dictionary_encode()
+            del words, compact, offsets
             code = coded.indices.to_numpy()
             of_code = np.zeros(len(coded.dictionary), bool)
             of_code[code] = is_plain  # equal pieces are of one kind
             found = self._ids(coded.dictionary.to_pylist(), of_code.tolist(), plain)
             size = np.fromiter(map(len, found), np.int32, len(found)) >> 2
             flat = np.frombuffer(b"".join(found), "<u4")
+            del found
             begin = np.cumsum(size, dtype=np.int32) - size
             length = size[code]
             ends = np.cumsum(length, dtype=np.int32)
@@ -207,6 +211,7 @@ def encoder(path: str) -> Encoder:
     all the worker's tasks and no more than one cache is held."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        tb.give_back()  # what reading the vocabulary took
     return _encoders[path]
 
 

@@ -1,16 +1,18 @@
 """Token ids equal the library's; the grammar files give them back."""
 
 import functools
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from storepulse.llm import repair, tokens
-from storepulse.llm.common import read_table
+from storepulse.llm import repair, textbytes, tokens
+from storepulse.llm.common import BATCH, read_table, small_batches, written
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import awkward, documents, rows
 
@@ -56,6 +58,51 @@ def test_one_cache_of_bounded_bytes_for_both_kinds():
     assert coder.remembered() <= tokens.CACHE
 
 
+def test_memory_of_long_texts_is_bounded():
+    """Arrays in hand, while some megabytes of text are encoded, and after."""
+    words = [f"{a}{b}{c}{d}" for a in "stuv" for b in "abcdefghij" for c in "klmnopqrst" for d in "aeiou"]
+    texts = pa.array([" ".join(words[k:] + words[:k]) for k in range(1000)])
+    assert texts.nbytes > 8 << 20
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    tracemalloc.start()
+    try:
+        total = sum(int(counts.sum()) for _, counts in coder.chunks(texts))
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert total >= 2000 * 1000
+    assert peak < 48 << 20 and left < 8 << 20
+
+
+def test_freed_memory_and_tables_are_given_back():
+    textbytes._power_tables(100)
+    assert sum(t.nbytes for t in textbytes._powers) > 16 << 20
+    textbytes.give_back()
+    assert sum(t.nbytes for t in textbytes._powers) < 100
+    buf = np.frombuffer(b"one two one", np.uint8)  # made again when asked for
+    h = textbytes.span_hashes(buf, np.array([0, 4, 8]), np.array([3, 7, 11]), textbytes.BYTE_VALUE)
+    assert h[0] == h[2] != h[1]
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+
+    def noted(df, name):
+        held.append((name, spark.conf.get(key)))
+        return written(df, name)
+
+    monkeypatch.setattr(repair, "written", noted)
+    assert repair.round_trip(documents(spark, [(1, "a b c")])).count() == 1
+    assert ("tokens", str(BATCH)) in held and spark.conf.get(key) == before
+    with pytest.raises(KeyError), small_batches(spark, 1000):
+        sizes = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 100) t").mapInArrow(
+            lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long").collect()
+        assert len(sizes) > 100
+        raise KeyError
+    assert spark.conf.get(key) == before
+
+
 def test_separator_strings_are_text_where_asked():
     plain, special = library(), library()
     plain.encode_special_tokens = True
