@@ -234,18 +234,42 @@ def stragglers(compared: DataFrame, label: DataFrame, percent: int) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents in ``ids`` (id).  A bit map of the
-    hashed ids, of fixed size, is broadcast first, so that only about these
-    texts are shuffled for the exact semi-join, not the whole corpus."""
+def marked(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs with a boolean column ``name``: false only for rows whose doc_id is
+    certainly not in ``ids`` (id).  A bit map of the hashed ids, of fixed size,
+    is broadcast, so no row is shuffled for it."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER))
     mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
     words = ids.select(bit("id").alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(mask(F.col("bit"))).alias("mask"))
     dense = docs.sparkSession.range(FILTER).join(words, F.col("id") == F.col("word"), "left").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("m")))), lambda w: w["m"]).alias("words"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").crossJoin(F.broadcast(dense))  # one row
-    here = F.element_at("words", (bit("doc_id") / 64).cast("int") + 1).bitwiseAND(mask(bit("doc_id"))) != 0
-    return rows.where(here).select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("m")))), lambda w: w["m"]).alias("words_"))
+    own = bit(F.col("doc_id").cast("long"))
+    here = F.element_at("words_", (own / 64).cast("int") + 1).bitwiseAND(mask(own)) != 0
+    return docs.crossJoin(F.broadcast(dense)).withColumn(name, here).drop("words_")  # one row
+
+
+def found(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with a boolean column found_: doc_id is in ``ids`` (distinct id).
+    An outer join, since Spark moves a semi or anti join below the filter on
+    the bit map and then shuffles every text."""
+    flagged = ids.select(F.col("id").alias("doc_id"), F.lit(True).alias("found_"))
+    return docs.join(flagged, "doc_id", "left").withColumn("found_", F.coalesce("found_", F.lit(False)))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ``ids`` (distinct id).  Only the
+    texts that ``marked`` lets through are shuffled for the exact join, not the
+    whole corpus."""
+    rows = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "here_").where("here_")
+    return found(rows, ids).where("found_").select("doc_id", "text")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that are not in ``ids`` (distinct id); as in ``texts_of``
+    only the rows that may be are shuffled."""
+    rows = marked(docs, ids, "here_")
+    maybe = found(rows.where("here_"), ids).where("NOT found_")
+    return rows.where("NOT here_").select(docs.columns).unionByName(maybe.select(docs.columns))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,8 +326,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that repeat another: of each group of
     near-duplicates the one with the smallest doc_id stays."""
     judged = written(near_duplicates(docs, **options), "judged")
-    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("NOT some").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some")).where("NOT some").select(F.col("doc_id").alias("id"))
+    out = without(docs, written(gone, "gone"))
     again = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return out

@@ -115,11 +115,12 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), total: float = 1.5, most: i
     before = Window.partitionBy("s", "size").orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     begin = slices.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").alias("i").join(
         copies.alias("c"), F.col("i.s").eqNullSafe(F.col("c.s")) & (F.col("i.size") == F.col("c.size"))).select(
-        F.col("i.s").alias("s"), F.col("i.size").alias("z"), F.col("slice_").alias("slice2"), "start", F.col("n").alias("n_"),
+        F.struct(F.col("i.s").alias("source"), F.col("i.size").alias("size"), "slice_").alias("cell_"), "start", F.col("n").alias("n_"),
         F.col("copies").alias("all_"), "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("source", "size", "slice_").orderBy(F.col("doc_id").asc_nulls_last()))
-    out = sliced.withColumn("place_", place).join(
-        begin, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("slice_") == F.col("slice2")))
+    # one key for the window and the join, null sources included: whole rows are shuffled once for both
+    place = F.row_number().over(Window.partitionBy("cell_").orderBy(F.col("doc_id").asc_nulls_last()))
+    cell = F.struct("source", "size", "slice_").cast(begin.schema["cell_"].dataType)  # also equal in what may be null
+    out = sliced.withColumn("cell_", cell).withColumn("place_", place).join(begin, "cell_")
     upto = F.expr("(all_ * (start + place_)) div n_ - (all_ * (start + place_ - 1)) div n_")
     return out.withColumn("copies", upto).select(
         *cols, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
